@@ -10,7 +10,11 @@ PLACEHOLDERS = ("-", "NA", "N/A")
 ERROR_TEXTS = ("#ref!", "#n/a", "#value!", "#name?", "#null!", "#div/0!")
 BLANK_AT_QUERY = ("", "-", "n/a")
 
-MAX_CELL_COLUMNS = 16_384  # width of an .xlsx sheet
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def column_index(label: str | int) -> int:
@@ -34,8 +38,8 @@ def column_index_of(label: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Drop white space of any kind at both ends (F.trim drops blanks only)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Drop white space of any kind at both ends (F.trim alone drops blanks only)."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def normalise_cell(cell: Column) -> Column:

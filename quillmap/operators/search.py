@@ -46,24 +46,19 @@ def key_groups(rules: DataFrame) -> DataFrame:
     """What the search needs to know of all valid expressions of a key and operator.
 
     expressions: how many; valid_count: how many the whole key has; first: the
-    (filename, row_no) that stands first. Rows of a file are combined before
-    anything else, so a key of any size arrives as one row per file.
+    (filename, row_no) that stands first. Rows are combined before they are
+    shuffled, so that a key of any size arrives as one row per task and operator.
     """
-    of_file = (
-        valid_expressions(rules)
-        .groupBy(*KEY, "file_stem")
-        .agg(F.count("*").alias("expressions"), F.min("row_no").alias("row_no"))
-    )
     groups = (
-        with_operator(of_file)
+        with_operator(valid_expressions(rules))
         .groupBy(*GROUP)
         .agg(
-            F.sum("expressions").alias("expressions"),
+            F.count("*").alias("expressions"),
             F.min(F.struct(F.col("file_stem").alias("filename"), "row_no")).alias("first"),
         )
     )
-    counts = groups.groupBy(*KEY).agg(F.sum("expressions").alias("valid_count"))
-    return groups.join(counts, list(KEY))
+    of_key = Window.partitionBy(*KEY)
+    return groups.withColumn("valid_count", F.sum("expressions").over(of_key))
 
 
 def match_groups(filters: DataFrame, groups: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Tree: root/<source>/<module>/<source_name>/<vendor>/LdRules/<file>.xlsx
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,12 @@ def read_workbook_files(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], WORKBOOK_FILE)
 
 
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The given files, by their listed paths."""
+    literal = [re.sub(r"([\\\[\]{}*?])", r"\\\1", path) for path in paths]
+    return spark.read.format("binaryFile").load(literal)
+
+
 def with_folder_levels(files: DataFrame) -> DataFrame:
     """Add the four level names and the file name, all parts of the path."""
     parts = F.split("path", "/")
