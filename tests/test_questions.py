@@ -1,0 +1,73 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quillmap.functions import questions as q
+from quillmap.operators import questions as ops
+
+PARSED = {
+    "Give me the mapping for field 'customer_id'": {"field": "customer_id"},
+    "Show mapping for AccountNumber from source SAP": {"field": "accountnumber", "source": "sap"},
+    "What is the mapping for 'email' vendor Oracle": {"field": "email", "vendor": "oracle"},
+    "Find all mappings in module CRM": {"module": "crm"},
+    "Show dimension Sales field Revenue": {"field": "revenue", "dimension": "sales"},
+    "get me logics for 'event_type' where source is RA, module is UC, source name is MSC,"
+    " vendor is Nokia and operator is DU": {
+        "field": "event_type", "source": "ra", "module": "uc", "source_name": "msc",
+        "vendor": "nokia", "operator": "du",
+    },
+    "get me logics for 'event_type' where source is RA, module is UC and source name is MSC and vendor is Nokia": {
+        "field": "event_type", "source": "ra", "module": "uc", "source_name": "msc", "vendor": "nokia",
+    },
+    "All mappings for vendor Salesforce": {"field": "vendor", "vendor": "salesforce"},
+    "Find field address in module CRM": {"field": "address", "module": "crm"},
+    "where source name is a and source is b": {"source_name": "a"},
+    "x source ra name y": {"source": "r"},
+    "fields 'a b' vendor is x or y": {"field": "a b", "vendor": "x"},
+    "measures is Cost, dim x": {"dimension": "cost"},
+    "nothing to see": {},
+    "hello": {},
+}
+
+
+def test_parse(spark):
+    table = spark.createDataFrame(list(enumerate(PARSED)), "question_id bigint, text string")
+    got = {r.question_id: r.asDict() for r in ops.parse_questions(table).collect()}
+    for i, expected in enumerate(PARSED.values()):
+        found = {k: v for k, v in got[i].items() if k in q.FILTERS and v is not None}
+        assert found == expected, list(PARSED)[i]
+
+
+@pytest.mark.parametrize(
+    "message, kind",
+    [(" HELP ", "help"), ("?", "help"), ("sources", "list"), ("Show All", "list"), ("info", "stats"),
+     ("cache", "cache_stats"), ("reset cache", "clear_cache"), ("  ", "empty"), ("\t\n", "empty"),
+     (None, "empty"), ("list x", "search")],
+)
+def test_message_kind(spark, message, kind):
+    row = spark.createDataFrame([(message,)], "text string").select(q.message_kind(F.col("text"))).first()
+    assert row[0] == kind
+
+
+def test_only_searches_are_parsed(spark):
+    table = spark.createDataFrame([(1, "help"), (2, "field x"), (3, " ")], "question_id bigint, text string")
+    assert [r.question_id for r in ops.search_questions(table).collect()] == [2]
+
+
+def test_latest_message(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "c"), (2, 3, "user", "d"), (3, 0, "user", None)]
+    table = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    assert {(r.conv_id, r.turn, r.text) for r in ops.latest_message(table).collect()} == {(1, 1, ""), (2, 3, "d"), (3, 0, "")}
+
+
+def test_split_vendors(spark):
+    table = spark.createDataFrame([("Nokia or ERICSSON and  x",), ("vendor",), ("a  OR\tb",)], "v string")
+    got = [r[0] for r in table.select(q.split_vendors(F.col("v"))).collect()]
+    assert got == [["nokia", "ericsson", "x"], ["vendor"], ["a", "b"]]
+
+
+def test_same_question_same_key(spark):
+    texts = ["field 'a'", "Field  'A'", "field 'b'", "hello", "good day"]
+    table = spark.createDataFrame(list(enumerate(texts)), "question_id bigint, text string")
+    keyed = ops.with_filter_key(ops.parse_questions(table))
+    assert ops.distinct_filters(keyed).count() == 3
+    assert keyed.select("filter_key").distinct().count() == 3
