@@ -26,10 +26,12 @@ def number_rows(
         *keys, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
     )
     within = Window.partitionBy(*keys, "_range").orderBy(lead, *ties)
+    # numbered first: the rows are then already sorted for the join
     return (
-        cut.join(starts, [*keys, "_range"])
-        .withColumn(name, F.row_number().over(within) + F.col("_start"))
-        .drop("_range", "_start")
+        cut.withColumn("_place", F.row_number().over(within))
+        .join(starts, [*keys, "_range"])
+        .withColumn(name, F.col("_place") + F.col("_start"))
+        .drop("_range", "_start", "_place")
     )
 
 

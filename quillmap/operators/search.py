@@ -38,6 +38,9 @@ def valid_expressions(rules: DataFrame) -> DataFrame:
 
 
 def with_operator(rows: DataFrame) -> DataFrame:
+    """Rules of the store know their operator; others get it from the file name."""
+    if "operator" in rows.columns:
+        return rows
     operator = operator_from_filename(F.col("file_stem"), F.col("source_name"), F.col("vendor"))
     return rows.withColumn("operator", operator)
 
@@ -58,7 +61,10 @@ def key_groups(rules: DataFrame) -> DataFrame:
         )
     )
     of_key = Window.partitionBy(*KEY)
-    return groups.withColumn("valid_count", F.sum("expressions").over(of_key))
+    # a fixed number of partitions: matching is more work than the size of the groups tells
+    partitions = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = groups.repartition(partitions, *KEY)
+    return spread.withColumn("valid_count", F.sum("expressions").over(of_key))
 
 
 def match_groups(filters: DataFrame, groups: DataFrame) -> DataFrame:

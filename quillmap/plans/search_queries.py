@@ -258,7 +258,7 @@ RESULT_SQL = f"filter_key, {', '.join(search.RESULT)}, row_no"
 
 
 def _search(spark, sf_dir):
-    rules = t.rules(spark, sf_dir)
+    rules = materialise(t.rules(spark, sf_dir))
     return search.search(questions.parse_questions(t.questions(spark, sf_dir)), rules), rules
 
 

@@ -15,7 +15,7 @@ from quillmap.schemas import FOLDER
 
 TABLES = ("region", "nation", "supplier", "part", "lineitem", "orders", "conversations")
 HEADER_ROWS = 2
-NUMBERED_AT_ONCE = 8_192  # order keys per numbered range
+NUMBERED_AT_ONCE = 1 << 20  # order keys per numbered range
 NOW = 996_710_400  # 2001-08-02, just after the last order
 TTL_HOURS = 24 * 365
 BUDGET_MB = 20

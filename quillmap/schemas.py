@@ -5,7 +5,7 @@ KEY = (*FOLDER, "dimension", "field")
 
 LISTING = "path string, modificationTime timestamp, length bigint"
 WORKBOOK_FILE = LISTING + ", content binary"  # the layout of Spark's binaryFile source
-DECODED = "path string, status string, error string, row_no bigint, cells array<string>"
+DECODED = "path string, status string, error string, row_no bigint, cells array<string>, entry_key string"
 META = "timestamp double, file_mtime double, file_path string, data_size bigint, cache_version bigint"
 MANIFEST = (
     "entry_key string, file_path string, file_mtime double, timestamp double,"
@@ -14,5 +14,5 @@ MANIFEST = (
 RULES = (
     "source string, module string, source_name string, vendor string, file_stem string,"
     " row_no bigint, dimension string, field string, expression string,"
-    " entry_key string, load_id string"
+    " operator string, entry_key string, load_id string"
 )

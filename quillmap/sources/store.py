@@ -26,6 +26,7 @@ from quillmap.operators.manifest import (
     latest_entries,
     manifest_validity,
 )
+from quillmap.operators.search import with_operator
 from quillmap.schemas import KEY, MANIFEST, RULES
 from quillmap.session import materialise
 from quillmap.sources.workbooks import (
@@ -71,7 +72,7 @@ def write_extractions(rules: DataFrame, files: DataFrame, store: str, now: float
     """
     load_id = uuid.uuid4().hex
     # rebalance splits what is large and joins what is small within each partition value
-    rows = rules.withColumn("load_id", F.lit(load_id)).hint("rebalance", "source", "module")
+    rows = with_operator(rules).withColumn("load_id", F.lit(load_id)).hint("rebalance", "source", "module")
     rows.write.partitionBy("source", "module").mode("append").parquet(_rules_path(store))
 
     keys = rules.groupBy("entry_key", "dimension", "field").agg(
@@ -189,13 +190,12 @@ def ingest(
 
 def _load(files: DataFrame, extraction: Extraction, store: str, now: float) -> DataFrame:
     """Read the given workbooks into the store; returns their statuses."""
-    decoded = materialise(
-        decode_workbooks(keep_workbooks(files), extraction.sheet, extraction.width())
-    )
+    keyed = keyed_workbooks(files, extraction).select("path", "entry_key", "content")
+    decoded = materialise(decode_workbooks(keyed, extraction.sheet, extraction.width()))
     statuses = file_statuses(decoded)
-    listing = keyed_workbooks(files.drop("content"), extraction)
-    read = listing.join(statuses.where(F.col("status") == "ok"), "path", "left_semi")
-    rules = extraction.rules(sheet_grid(decoded)).join(read.select("path", "entry_key"), "path").drop("path")
-    entries = read.select("entry_key", F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"))
+    rules = with_operator(extraction.rules(sheet_grid(decoded)).drop("path"))
+    read = statuses.where(F.col("status") == "ok").select("path")
+    listing = keyed_workbooks(files.drop("content"), extraction).join(read, "path", "left_semi")
+    entries = listing.select("entry_key", F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"))
     write_extractions(rules, entries, store, now)
-    return statuses
+    return statuses.drop("entry_key")

@@ -73,43 +73,47 @@ def decode_workbooks(files: DataFrame, sheet: int | str = 0, width: int = 4) ->
 
     status is ok, skipped (no such sheet) or error. A workbook is decoded in full
     before any of its rows leaves the task, so a broken one adds no rows. Its size
-    is bounded by the format: 1,048,576 rows, of which `width` cells are kept.
+    is bounded by the format: 1,048,576 rows, of which `width` cells are kept. The
+    entry_key of a file, if it has one, goes with its rows.
     """
     cell_type = pa.list_(pa.string())
     schema = pa.schema(
         [("path", pa.string()), ("status", pa.string()), ("error", pa.string()),
-         ("row_no", pa.int64()), ("cells", cell_type)]
+         ("row_no", pa.int64()), ("cells", cell_type), ("entry_key", pa.string())]
     )
 
-    def batch(path: str, status: str | None, error: str | None, numbers: list, cells: list) -> pa.RecordBatch:
+    def batch(file: tuple, status: str | None, error: str | None, numbers: list, cells: list) -> pa.RecordBatch:
         n = len(numbers)
-        columns = [[path] * n, [status] * n, [error] * n, numbers, cells]
+        columns = [[file[0]] * n, [status] * n, [error] * n, numbers, cells, [file[1]] * n]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
         )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for records in batches:
-            for path, content in zip(records.column("path"), records.column("content")):
-                path, rows, status, error = path.as_py(), [], "ok", None
+            names = zip(records.column("path").to_pylist(), records.column("entry_key").to_pylist())
+            for file, content in zip(names, records.column("content")):
+                rows, status, error = [], "ok", None
                 try:
                     rows = list(sheet_rows(content.as_py(), sheet, width))
                 except SheetNotFound as e:
                     status, error = "skipped", str(e)
                 except Exception as e:  # any defect of the file makes it a reported one
                     status, error = "error", f"{type(e).__name__}: {e}"
-                yield batch(path, status, error, [None], [None])
+                yield batch(file, status, error, [None], [None])
                 for start in range(0, len(rows), ROWS_PER_BATCH):
                     some = rows[start : start + ROWS_PER_BATCH]
-                    yield batch(path, None, None, [r for r, _ in some], [c for _, c in some])
+                    yield batch(file, None, None, [r for r, _ in some], [c for _, c in some])
 
-    return files.select("path", "content").mapInArrow(decode, DECODED)
+    if "entry_key" not in files.columns:
+        files = files.withColumn("entry_key", F.lit(None).cast("string"))
+    return files.select("path", "entry_key", "content").mapInArrow(decode, DECODED)
 
 
 def sheet_grid(decoded: DataFrame) -> DataFrame:
-    rows = decoded.where(F.col("row_no").isNotNull()).select("path", "row_no", "cells")
-    return with_folder_levels(rows).select(*FOLDER, "file_stem", "path", "row_no", "cells")
+    rows = decoded.where(F.col("row_no").isNotNull()).select("path", "row_no", "cells", "entry_key")
+    return with_folder_levels(rows).select(*FOLDER, "file_stem", *rows.columns)
 
 
 def file_statuses(decoded: DataFrame) -> DataFrame:
-    return decoded.where(F.col("row_no").isNull()).select("path", "status", "error")
+    return decoded.where(F.col("row_no").isNull()).select("path", "status", "error", "entry_key")
