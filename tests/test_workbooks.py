@@ -159,3 +159,25 @@ def test_stream_reads_every_file_once(spark, tmp_path):
     _tree(root, {f"{FOLDER}/b.xlsx": book("two")})
     assert run() == ["one", "two"]
     assert run() == ["one", "two"]
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """The package is known to the driver alone, as under spark-submit without --py-files."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "from quillmap.session import local_session\n"
+        "from quillmap.plans.workbook_tables import workbook_bytes\n"
+        "from quillmap.sources.workbooks import decode_workbooks\n"
+        "book = workbook_bytes({'S': [(1, ['1', 'a', 'b', 'c'])]})\n"
+        "spark = local_session(1)\n"
+        "files = spark.createDataFrame([('/x.xlsx', bytearray(book))], 'path string, content binary')\n"
+        "print('rows', decode_workbooks(files).where('row_no = 1').count())\n"
+    )
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert "rows 1" in done.stdout, done.stderr[-2000:]
