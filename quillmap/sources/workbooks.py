@@ -82,17 +82,15 @@ def decode_workbooks(files: DataFrame, sheet: int | str = 0, width: int = 4) ->
          ("row_no", pa.int64()), ("cells", cell_type), ("entry_key", pa.string())]
     )
 
-    def batch(file: tuple, status: str | None, error: str | None, numbers: list, cells: list) -> pa.RecordBatch:
-        n = len(numbers)
-        columns = [[file[0]] * n, [status] * n, [error] * n, numbers, cells, [file[1]] * n]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-        )
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(values, type=field.type) for values, field in zip(zip(*rows), schema)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
         for records in batches:
             names = zip(records.column("path").to_pylist(), records.column("entry_key").to_pylist())
-            for file, content in zip(names, records.column("content")):
+            for (path, key), content in zip(names, records.column("content")):
                 rows, status, error = [], "ok", None
                 try:
                     rows = list(sheet_rows(content.as_py(), sheet, width))
@@ -100,10 +98,14 @@ def decode_workbooks(files: DataFrame, sheet: int | str = 0, width: int = 4) ->
                     status, error = "skipped", str(e)
                 except Exception as e:  # any defect of the file makes it a reported one
                     status, error = "error", f"{type(e).__name__}: {e}"
-                yield batch(file, status, error, [None], [None])
-                for start in range(0, len(rows), ROWS_PER_BATCH):
-                    some = rows[start : start + ROWS_PER_BATCH]
-                    yield batch(file, None, None, [r for r, _ in some], [c for _, c in some])
+                waiting.append((path, status, error, None, None, key))
+                for row_no, cells in rows:
+                    waiting.append((path, None, None, row_no, cells, key))
+                    if len(waiting) >= ROWS_PER_BATCH:
+                        yield batch(waiting)
+                        waiting = []
+        if waiting:
+            yield batch(waiting)
 
     if "entry_key" not in files.columns:
         files = files.withColumn("entry_key", F.lit(None).cast("string"))
