@@ -130,6 +130,23 @@ def test_one_question_equals_many(case, expected):
     assert got == {key: expected[key]}
 
 
+def test_without_broadcasts(spark, case, expected):
+    """Beyond the size Spark broadcasts, the same joins run as shuffles."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        matches = search.search(case["questions"], case["rules"])
+        plan = _plan(matches)
+        assert "SortMergeJoin" in plan and "BroadcastNestedLoopJoin" not in plan
+        assert _found(search.rank_results(search.results(matches, case["rules"]))) == {k: v for k, v in expected.items() if v}
+        top = search.top_results(matches, case["rules"]).orderBy("filter_key", "rank")
+        assert _found(top) == {k: v[:50] for k, v in expected.items() if v}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
