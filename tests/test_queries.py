@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillmap.plans import ORACLE, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
@@ -30,11 +31,11 @@ def _rows(columns, rows):
     return sorted((tuple(value(r[i]) for i in order) for r in rows), key=lambda r: [(v is not None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, oracle, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     got = df.collect()
-    result = oracle.execute(entry.oracle_sql()[name])
+    result = oracle.execute(ORACLE[name])
     columns = [c[0] for c in result.description]
     expected = result.fetchall()
     assert sorted(df.columns) == sorted(columns)
