@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bytebpe, language, mixing, quality, wordpiece
+from quillmap.llm import bytebpe, fingerprint, language, mixing, ngram_join, quality, revisits, wordpiece
 from quillmap.llm.common import documents
 from quillmap.plans.registry import Query
 
@@ -17,11 +17,27 @@ def op1_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(documents(spark, sf_dir))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(documents(spark, sf_dir))
+
+
+def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    found = revisits.resolve_revisits(revisits.capture_history(pages))
+    names = ("cache-control", "content-length", "content-type", "date", "etag", "last-modified")
+    fields = [found["headers"][n].alias(n.replace("-", "_")) for n in names]
+    return found.select("record_id", "url_key", "outcome", "response_id", "digest", *fields)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.identify_language(docs, language.train_language_model(docs))
 
 
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = wordpiece.read_pieces(public_tokenizers.path(PIECE_FILE))
     return wordpiece.count_tokens(documents(spark, sf_dir), pieces)
@@ -38,13 +54,37 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_revisits": op3_revisits,
     "op4_language_id": op4_language_id,
+    "op5_edit_fingerprints": op5_edit_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_source_mix": op9_source_mix,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_ngram_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+        placed AS (
+            SELECT doc_id, w, len(w) AS n, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0),
+        shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN n < 3 THEN array_to_string(w, ' ')
+                ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
+            FROM placed),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * common >= 90 * (x.n + y.n - common)),
+        reach AS (
+            SELECT a AS doc_id, a AS seen FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.seen)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(min(r.seen), d.doc_id) AS component_id
+        FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.doc_id = d.doc_id
+        GROUP BY d.doc_id, s.n""",
     "op9_source_mix": r"""
         WITH sized AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
