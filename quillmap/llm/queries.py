@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm import bytebpe, fingerprint, language, mixing, ngram_join, quality, revisits, wordpiece
+from quillmap.llm import bytebpe, fingerprint, language, mixing, ngram_join, quality, revisits, suffix_dedup, wordpiece
 from quillmap.llm.common import documents
 from quillmap.plans.registry import Query
 
@@ -38,6 +38,10 @@ def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = wordpiece.read_pieces(public_tokenizers.path(PIECE_FILE))
     return wordpiece.count_tokens(documents(spark, sf_dir), pieces)
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op3_revisits": op3_revisits,
     "op4_language_id": op4_language_id,
     "op5_edit_fingerprints": op5_edit_fingerprints,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_source_mix": op9_source_mix,
