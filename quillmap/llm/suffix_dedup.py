@@ -378,9 +378,12 @@ def _found(suspects: DataFrame, length: int, gram: int) -> DataFrame:
     def strings():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out: list[list] = [[], [], []]
-            for i, data in enumerate(batch["bytes"].to_pylist()):
+            for i, (data, before) in enumerate(zip(batch["bytes"].to_pylist(), batch["before"].to_pylist())):
                 start = np.arange(max(0, len(data) - length + 1))
-                out[0].append(_mixed(PrefixHashes(np.frombuffer(data, np.uint8)).of(start, start + length)).view(np.int64))
+                # as in the sort, only strings with the anchor at one place are alike
+                side = (start + left - before).astype(np.uint64)
+                string = PrefixHashes(np.frombuffer(data, np.uint8)).of(start, start + length)
+                out[0].append(_mixed(string + _mixed(side)).view(np.int64))
                 out[1].append(start)
                 out[2].append(np.full(len(start), i))
             string, start, row = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
