@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmap.llm import bytebpe, fingerprint, language, mixing, ngram_join, quality, revisits, suffix_dedup, wordpiece
+from quillmap.llm import bytebpe, fingerprint, language, mixing, ngram_join, quality, revisits, suffix_dedup, templates, wordpiece
 from quillmap.llm.common import documents
 from quillmap.plans.registry import Query
 
@@ -56,6 +57,16 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).drop("copies")
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "row.doc_id",
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
     "op2_ngram_join": op2_ngram_join,
@@ -66,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_source_mix": op9_source_mix,
+    "op10_line_templates": op10_line_templates,
 }
 
 ORACLE: dict[str, str] = {
