@@ -352,6 +352,6 @@ def _across_blocks(large: DataFrame, links: DataFrame, percent: int, width: int)
 def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The document of least id of each component, with all its columns; repeated rows count once."""
     found = join_components(docs, percent, width)
-    dropped = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct())
-    kept = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped")), "left_anti")
+    dropped = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
     return kept.dropDuplicates(["doc_id", "text"])
