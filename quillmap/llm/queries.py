@@ -102,6 +102,49 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(min(r.seen), d.doc_id) AS component_id
         FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.doc_id = d.doc_id
         GROUP BY d.doc_id, s.n""",
+    "op3_revisits": r"""
+        WITH rests AS (
+            SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//', '') AS rest
+            FROM pages),
+        parts AS (
+            SELECT page_id, html, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '') AS host,
+                regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+                    x -> x <> '' AND NOT regexp_matches(x, '^(?i)(utm_[^=]*|gclid|fbclid|ref)='))) AS params
+            FROM rests),
+        keyed AS (
+            SELECT page_id, html, page_id * 600 AS moment,
+                host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key,
+                '"' || substr(md5(html), 1, 16) || '"' AS tag, 'version ' || (page_id % 3) AS changed
+            FROM parts),
+        revisits AS (
+            SELECT page_id * 3 + 1 AS record_id, url_key, moment + 259200 AS moment, 'no-cache' AS cache_control,
+                CASE WHEN page_id % 5 = 0 THEN '"changed"' ELSE 'W/' || tag END AS etag, NULL AS last_modified
+            FROM keyed
+            UNION ALL
+            SELECT page_id * 3 + 2, url_key, moment + (page_id % 11 - 2) * 86400, NULL, NULL,
+                CASE WHEN page_id % 4 = 0 THEN 'version x' ELSE changed END
+            FROM keyed),
+        pairs AS (
+            SELECT r.record_id, k.page_id, row_number() OVER (PARTITION BY r.record_id ORDER BY k.moment DESC, k.page_id DESC) AS place
+            FROM revisits r JOIN keyed k ON r.url_key = k.url_key
+                AND (k.moment < r.moment OR (k.moment = r.moment AND k.page_id * 3 < r.record_id))),
+        judged AS (
+            SELECT r.*, k.page_id, k.html, k.tag, k.changed,
+                CASE WHEN k.page_id IS NULL THEN 'no_response'
+                    WHEN r.etag IS NOT NULL AND replace(r.etag, 'W/', '') = k.tag THEN 'resolved'
+                    WHEN r.etag IS NULL AND r.last_modified = k.changed THEN 'resolved'
+                    ELSE 'mismatch' END AS outcome
+            FROM revisits r LEFT JOIN pairs p ON p.record_id = r.record_id AND p.place = 1 LEFT JOIN keyed k ON k.page_id = p.page_id)
+        SELECT record_id, url_key, outcome, page_id * 3 AS response_id,
+            CASE WHEN outcome = 'resolved' THEN sha256(html) END AS digest,
+            CASE WHEN outcome = 'resolved' THEN coalesce(cache_control, 'max-age=' || (page_id % 7 * 60)) END AS cache_control,
+            CASE WHEN outcome = 'resolved' THEN CAST(octet_length(encode(html)) AS VARCHAR) END AS content_length,
+            CASE WHEN outcome = 'resolved' THEN 'text/html' END AS content_type,
+            CASE WHEN outcome = 'resolved' THEN CAST(moment AS VARCHAR) END AS date,
+            CASE WHEN outcome = 'resolved' THEN coalesce(etag, tag) END AS etag,
+            CASE WHEN outcome = 'resolved' THEN coalesce(last_modified, changed) END AS last_modified
+        FROM judged""",
     "op9_source_mix": r"""
         WITH sized AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,

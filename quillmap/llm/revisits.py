@@ -120,7 +120,8 @@ def capture_history(pages: DataFrame) -> DataFrame:
     """A capture history made from the pages: each page's response and two revisits of its URL.
 
     The first revisit comes three days later and names an entity tag, a wrong one for
-    every fifth page; the second comes two days earlier and names a modification date.
+    every fifth page; the second comes between two days earlier and eight days later and
+    names a modification date, a wrong one for every fourth page.
     """
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
     at = F.col("page_id") * 600
@@ -143,7 +144,9 @@ def capture_history(pages: DataFrame) -> DataFrame:
     wrong = F.when(F.col("page_id") % 5 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
     own = headers(ETag=tag, Last_Modified=changed, Content_Type=F.lit("text/html"), Content_Length=length, Cache_Control=age)
     later = headers(etag=wrong, cache_control=F.lit("no-cache"), content_length=F.lit("0"), date=(at + 259_200).cast("string"))
-    sooner = headers(last_modified=changed, content_type=F.lit("text/plain"), Connection=F.lit("close"), date=(at - 172_800).cast("string"))
+    other = at + (F.col("page_id") % 11 - 2) * 86_400
+    dated = F.when(F.col("page_id") % 4 == 0, F.lit("version x")).otherwise(changed)
+    plain = headers(last_modified=dated, content_type=F.lit("text/plain"), Connection=F.lit("close"), date=other.cast("string"))
     nothing = F.lit(None).cast("string")
     return pages.select(
         "url",
@@ -151,7 +154,7 @@ def capture_history(pages: DataFrame) -> DataFrame:
             F.array(
                 record(0, "response", at, own, F.sha2("html", 256)),
                 record(1, "revisit", at + 259_200, later, nothing),
-                record(2, "revisit", at - 172_800, sooner, nothing),
+                record(2, "revisit", other, plain, nothing),
             )
         ),
     )
