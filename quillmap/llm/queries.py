@@ -110,7 +110,7 @@ ORACLE: dict[str, str] = {
             SELECT page_id, html, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.|:(80|443)$', '') AS host,
                 regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
                 list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
-                    x -> x <> '' AND NOT regexp_matches(x, '^(?i)(utm_[^=]*|gclid|fbclid|ref)='))) AS params
+                    lambda x: x <> '' AND NOT regexp_matches(x, '^(?i)(utm_[^=]*|gclid|fbclid|ref)='))) AS params
             FROM rests),
         keyed AS (
             SELECT page_id, html, page_id * 600 AS moment,
