@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmap.llm.common import map_portions
+from quillmap.llm.common import KEY, map_portions, text_key
 from quillmap.llm.components import components
 from quillmap.session import materialise
 
@@ -210,25 +210,29 @@ def _links(rows: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, class (of its shingle set; null when empty), n_shingles."""
+    """doc_id, key_a, key_b (of the text), class (of its shingle set; null when empty), n_shingles."""
 
     def work():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(text, width) for text in batch["text"].to_pylist()]
             return pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"],
+                    *(batch[c] for c in ("doc_id", *KEY)),
                     pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                 ],
-                ["doc_id", "class", "n_shingles"],
+                ["doc_id", *KEY, "class", "n_shingles"],
             )
 
         return each
 
-    narrow = docs.select("doc_id", "text")
+    narrow = docs.select("doc_id", *text_key(F.col("text")), "text")
     schema = T.StructType(
-        [narrow.schema["doc_id"], T.StructField("class", T.BinaryType()), T.StructField("n_shingles", T.LongType())]
+        [
+            *(narrow.schema[c] for c in ("doc_id", *KEY)),
+            T.StructField("class", T.BinaryType()),
+            T.StructField("n_shingles", T.LongType()),
+        ]
     )
     return map_portions(narrow, work, schema)
 
@@ -272,6 +276,11 @@ def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     and link with nothing. Equal texts and repeated rows share a class. Shingles are told
     apart by 64 bits. Other columns are not read.
     """
+    return _joined(docs, percent, width).drop(*KEY)
+
+
+def _joined(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """doc_id, key_a, key_b, n_shingles, component_id."""
     rows = materialise(classes(docs, width))
     clusters = components(candidate_links(docs, percent, width))
     sizes = (
@@ -296,12 +305,12 @@ def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
         links = _across_blocks(large, links, percent, width)
     roots = components(links)
     grouped = rows.join(roots, F.col("class") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "class").alias("set")
+        "doc_id", *KEY, "n_shingles", F.coalesce("root", "class").alias("set")
     )
     grouped = materialise(grouped)
     least = grouped.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(materialise(least), "set", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", *KEY, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
@@ -343,15 +352,21 @@ def _across_blocks(large: DataFrame, links: DataFrame, percent: int, width: int)
     rest = materialise(several(labelled(links)))
     others = F.transform(
         F.sequence(F.lit(0), F.col("blocks").cast("int") - 1),
-        lambda k: F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block")),
+        lambda k: (F.least(k, F.col("block")) * F.col("blocks") + F.greatest(k, F.col("block"))).cast("long"),
     )
-    pairs = rest.withColumn("block", F.explode(others).cast("long"))
+    pairs = rest.withColumn("block", F.explode(others))
     return materialise(links.unionByName(_links(pairs, percent, width)))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """The document of least id of each component, with all its columns; repeated rows count once."""
-    found = join_components(docs, percent, width)
-    dropped = materialise(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """The document of least id of each component, with all its columns; repeated rows count once.
+
+    Of documents that share the least id, but not the text, all stay.
+    """
+    found = _joined(docs, percent, width)
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", *KEY).distinct()
+    gone = materialise(dropped).select(F.col("doc_id").alias("id"), F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), *text_key(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b"))
+    kept = rows.join(gone, same, "left_anti")
+    return kept.dropDuplicates(["doc_id", *KEY]).select("row.*")

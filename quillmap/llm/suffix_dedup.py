@@ -349,6 +349,7 @@ def _found(suspects: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(held: list[tuple]) -> pa.RecordBatch:
+            held = list(dict.fromkeys(held))  # repeated rows of one document
             grams, group = np.unique(np.array([h[0] for h in held], np.int64), return_inverse=True)
             order = np.argsort(group, kind="stable")
             held = [held[i] for i in order]
@@ -396,7 +397,7 @@ def _found(suspects: DataFrame, length: int, gram: int) -> DataFrame:
         return each
 
     hashed = map_portions(
-        pieces.where("many"), strings, "gram long, key_a long, key_b long, string long, start long", "bytes"
+        pieces.where("many").dropDuplicates(["gram", "place", *KEY]), strings, "gram long, key_a long, key_b long, string long, start long", "bytes"
     )
     twice = hashed.groupBy("gram", "string").agg(F.count("*").alias("times")).where("times > 1").drop("times")
     grouped = hashed.join(twice, ["gram", "string"]).select(*KEY, "start", (F.col("start") + length).alias("end"))
@@ -435,4 +436,5 @@ def _judge(suspects: DataFrame, found: DataFrame, length: int, gram: int) -> Dat
     spans = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     covered = F.flatten(F.transform(F.filter("members", lambda m: m["covered"]), lambda m: m["places"]))
     joined = suspects.select(*KEY, "text", covered.alias("covered")).join(spans, KEY, "left")
-    return map_portions(joined, work, "key_a long, key_b long, n_removed long, n_spans long, kept_sha binary")
+    judged = map_portions(joined, work, "key_a long, key_b long, n_removed long, n_spans long, kept_sha binary")
+    return judged.dropDuplicates(KEY)  # repeated rows of one document
