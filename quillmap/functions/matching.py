@@ -35,9 +35,9 @@ NOT_OPERATORS = (
 )
 # Where the folder word stands in a file name, tried in this order.
 FOLDER_WORD_PATTERNS = (
-    r"(?i)^LdRules[_\-\s]*",
-    r"(?i)[_\-\s]*LdRules$",
-    r"(?i)[_\-\s]*LdRules[_\-\s]*",
+    r"(?U)(?i)^LdRules[_\-\s]*",
+    r"(?U)(?i)[_\-\s]*LdRules$",
+    r"(?U)(?i)[_\-\s]*LdRules[_\-\s]*",
 )
 
 
@@ -107,7 +107,7 @@ def operator_from_filename(stem: Column, source_name: Column, vendor: Column) ->
             keep = keep & ~word.contains(name) & ~name.contains(word)
         return keep
 
-    operator = F.concat_ws("_", F.filter(F.split(rest, r"[_\-\s]+"), names_operator))
+    operator = F.concat_ws("_", F.filter(F.split(rest, r"(?U)[_\-\s]+"), names_operator))
     return F.when(operator == "", F.lit(UNKNOWN)).otherwise(F.coalesce(operator, F.lit(UNKNOWN)))
 
 

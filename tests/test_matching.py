@@ -48,6 +48,10 @@ OPERATORS = [
     ("Etisalat_FMSLdRules CCN EC20", "CCN", "Ericsson", "Etisalat_FMS_EC20"),
     ("LdRules_DU_X", "", "Nokia", "Unknown"),
     (None, "MSC", "Nokia", "Unknown"),
+    ("LdRules\u00a0DU\u00a0Dubai_MSC", "MSC", "Nokia", "DU_Dubai"),
+    ("DU\u00a0MSC", "MSC", "Nokia", "DU"),
+    ("LdRules\u3000DU\u0085MSC", "MSC", "Nokia", "DU"),
+    ("DU\u3000Dubai\u0085LdRules", "MSC", "Nokia", "DU_Dubai"),
 ]
 
 
