@@ -54,7 +54,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # the texts that have lines in such leaves, with these leaves
     wanted = slim.join(often.select("leaf"), "leaf").groupBy(*KEY).agg(F.collect_list("leaf").alias("leaves"))
     found = (
-        keyed.join(materialise(wanted), KEY)
+        keyed.join(materialise(wanted).hint("merge"), KEY)  # grows with the documents
         .select(*KEY, "leaves", split.alias("lines"))
         .withColumn("digests", F.slice(F.array_sort(F.transform("lines", F.md5)), 1, 2))
         .select(*KEY, "leaves", "digests", F.explode("lines").alias("line"))
@@ -114,7 +114,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     alone make nothing recur, and lose the same lines. Repeated rows stay repeated.
     """
     dropped = materialise(recurring_lines(docs, min_docs).groupBy(*KEY).agg(F.collect_list("line").alias("dropped")))
-    rows = docs.select(F.struct("*").alias("row"), *text_key(F.col("text"))).join(dropped, KEY, "left")
+    rows = docs.select(F.struct("*").alias("row"), *text_key(F.col("text"))).join(dropped.hint("merge"), KEY, "left")
     lines, marked = F.split("row.text", "\n"), F.split(masked(F.col("row.text")), "\n")
     changed = F.col("dropped").isNotNull()
     kept = F.when(changed, F.filter(lines, lambda _, i: ~F.array_contains("dropped", F.get(marked, i))))
