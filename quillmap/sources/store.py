@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +32,11 @@ from quillmap.sources.workbooks import (
     decode_workbooks,
     file_statuses,
     keep_workbooks,
-    read_paths,
     read_workbook_files,
     sheet_grid,
     with_folder_levels,
 )
 
-FILES_PER_LOAD = 100_000
-
 
 def _rules_path(store: str) -> str:
     return f"{store.rstrip('/')}/rules"
@@ -154,48 +150,36 @@ def ingest(
     now: float,
     extraction: Extraction = Extraction(),
     ttl_hours: float = TTL_HOURS,
-    files_per_load: int = FILES_PER_LOAD,
 ) -> dict[str, DataFrame]:
     """Read what is new or changed below `root` into the store.
 
     Returns the tables `validity` (what was found of every workbook), `statuses`
     (how the reading went) and `rules` (all current rules, saved and new).
 
-    Only the listing is compared with the manifest; contents are read for the files
-    that need it and for no others, in loads of a bounded number of paths. Every
-    load is complete in itself, so an interrupted run goes on where it stopped.
+    Only the listing is compared with the manifest. Paths stay a table: tasks open the
+    files that need it and no others, in one job for any number of files. A file that is
+    gone or unreadable by then is reported in `statuses` and read again the next time.
     """
-    tree = read_workbook_files(spark, root)
-    listing = materialise(keyed_workbooks(tree.drop("content"), extraction))
+    listing = materialise(keyed_workbooks(read_workbook_files(spark, root).drop("content"), extraction))
     validity = materialise(manifest_validity(listing, read_manifest_table(spark, store), now, ttl_hours))
-    todo = materialise(files_to_extract(listing, validity).select("path"))
-    wanted, seen = todo.count(), listing.count()
-    if wanted == seen:
-        loads = [tree]
-    else:
-        rounds = -(-wanted // files_per_load)
-        in_round = F.pmod(F.xxhash64("path"), F.lit(rounds)) if rounds else None
-        loads = (
-            read_paths(spark, [row.path for row in todo.where(in_round == i).collect()])
-            for i in range(rounds)
-        )
-    statuses = [_load(files, extraction, store, now) for files in loads]
-    nothing = spark.createDataFrame([], "path string, status string, error string")
+    todo = materialise(files_to_extract(listing, validity))
     return {
         "validity": validity,
-        "statuses": reduce(DataFrame.unionByName, statuses, nothing),
+        "statuses": _load(todo, extraction, store, now),
         "rules": read_saved_extractions(spark, store, listing.select("entry_key")),
     }
 
 
 def _load(files: DataFrame, extraction: Extraction, store: str, now: float) -> DataFrame:
-    """Read the given workbooks into the store; returns their statuses."""
-    keyed = keyed_workbooks(files, extraction).select("path", "entry_key", "content")
-    decoded = materialise(decode_workbooks(keyed, extraction.sheet, extraction.width()))
+    """Read the listed workbooks into the store; returns their statuses."""
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = files.select("path", "entry_key").repartition(partitions, "path")
+    decoded = materialise(decode_workbooks(spread, extraction.sheet, extraction.width()))
     statuses = file_statuses(decoded)
-    rules = with_operator(extraction.rules(sheet_grid(decoded)).drop("path"))
     read = statuses.where(F.col("status") == "ok").select("path")
-    listing = keyed_workbooks(files.drop("content"), extraction).join(read, "path", "left_semi")
-    entries = listing.select("entry_key", F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"))
-    write_extractions(rules, entries, store, now)
+    if not read.isEmpty():
+        rules = with_operator(extraction.rules(sheet_grid(decoded)).drop("path"))
+        kept = files.join(read, "path", "left_semi")
+        entries = kept.select("entry_key", F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"))
+        write_extractions(rules, entries, store, now)
     return statuses.drop("entry_key")

@@ -6,9 +6,11 @@ Tree: root/<source>/<module>/<source_name>/<vendor>/LdRules/<file>.xlsx
 from __future__ import annotations
 
 import re
+import urllib.parse
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +41,15 @@ def read_workbook_files(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], WORKBOOK_FILE)
 
 
-def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The given files, by their listed paths."""
-    literal = [re.sub(r"([\\\[\]{}*?])", r"\\\1", path) for path in paths]
-    return spark.read.format("binaryFile").load(literal)
+def read_file(path: str) -> bytes:
+    """The bytes of a listed file, opened where the task runs."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or "/" in scheme:
+        system, place = fs.LocalFileSystem(), re.sub("^/+", "/", rest or path)
+    else:
+        system, place = fs.FileSystem.from_uri(urllib.parse.quote(path, safe="/:@"))
+    with system.open_input_file(place) as opened:
+        return opened.read()
 
 
 def with_folder_levels(files: DataFrame) -> DataFrame:
@@ -74,7 +81,8 @@ def decode_workbooks(files: DataFrame, sheet: int | str = 0, width: int = 4) ->
     status is ok, skipped (no such sheet) or error. A workbook is decoded in full
     before any of its rows leaves the task, so a broken one adds no rows. Its size
     is bounded by the format: 1,048,576 rows, of which `width` cells are kept. The
-    entry_key of a file, if it has one, goes with its rows.
+    entry_key of a file, if it has one, goes with its rows. Without a column `content`
+    the files are opened in the tasks; one that cannot be opened is an error of its own.
     """
     cell_type = pa.list_(pa.string())
     schema = pa.schema(
@@ -90,10 +98,11 @@ def decode_workbooks(files: DataFrame, sheet: int | str = 0, width: int = 4) ->
         waiting: list[tuple] = []
         for records in batches:
             names = zip(records.column("path").to_pylist(), records.column("entry_key").to_pylist())
-            for (path, key), content in zip(names, records.column("content")):
+            for i, (path, key) in enumerate(names):
                 rows, status, error = [], "ok", None
                 try:
-                    rows = list(sheet_rows(content.as_py(), sheet, width))
+                    content = records.column("content")[i].as_py() if given else read_file(path)
+                    rows = list(sheet_rows(content, sheet, width))
                 except SheetNotFound as e:
                     status, error = "skipped", str(e)
                 except Exception as e:  # any defect of the file makes it a reported one
@@ -107,9 +116,10 @@ def decode_workbooks(files: DataFrame, sheet: int | str = 0, width: int = 4) ->
         if waiting:
             yield batch(waiting)
 
+    given = "content" in files.columns
     if "entry_key" not in files.columns:
         files = files.withColumn("entry_key", F.lit(None).cast("string"))
-    return files.select("path", "entry_key", "content").mapInArrow(decode, DECODED)
+    return files.select("path", "entry_key", *["content"] * given).mapInArrow(decode, DECODED)
 
 
 def sheet_grid(decoded: DataFrame) -> DataFrame:

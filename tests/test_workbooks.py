@@ -117,7 +117,7 @@ def test_incremental_ingest(spark, tmp_path):
     assert run(now) == ({"a[1]": "missing", "b": "missing", "empty": "missing"}, 3, ["one", "two"])
     assert run(now + 60) == ({"a[1]": "valid", "b": "valid", "empty": "valid"}, 0, ["one", "two"])
     _tree(root, {f"{FOLDER}/a[1].xlsx": book("one, changed"), "FMS/M/N/V/LdRules/new.xlsx": book("three")})
-    reasons, read, rules = run(now + 120, files_per_load=1)
+    reasons, read, rules = run(now + 120)
     assert (reasons["b"], reasons["empty"], reasons["new"], read) == ("valid", "valid", "missing", 2)
     assert rules == ["one, changed", "three", "two"]
     manifest = store.read_manifest_table(spark, folder)
@@ -126,6 +126,24 @@ def test_incremental_ingest(spark, tmp_path):
     assert run(now + 120 + 25 * 3600 + 1)[1:] == (0, ["one, changed", "three", "two"])
 
 
+def test_file_that_is_gone_when_it_is_opened(spark, tmp_path, monkeypatch):
+    root, folder = tmp_path / "root", new_shared_path(spark, "store")
+    _tree(root, {f"{FOLDER}/{name}": workbook_bytes({"S": ROWS}) for name in ("a b%20#1.xlsx", "gone.xlsx", "bad.xlsx")})
+    (root / FOLDER / "bad.xlsx").write_bytes(b"zzz")
+    planned = store.files_to_extract
+
+    def delete_first(listing, validity):
+        (root / FOLDER / "gone.xlsx").unlink(missing_ok=True)
+        return planned(listing, validity)
+
+    monkeypatch.setattr(store, "files_to_extract", delete_first)
+    found = store.ingest(spark, str(root), folder, 1_000.0)
+    statuses = {r.path.rsplit("/", 1)[1]: (r.status, r.error) for r in found["statuses"].collect()}
+    assert {name: s for name, (s, _) in statuses.items()} == {"a b%20#1.xlsx": "ok", "gone.xlsx": "error", "bad.xlsx": "error"}
+    assert "FileNotFound" in statuses["gone.xlsx"][1]
+    assert {r.file_stem for r in found["rules"].collect()} == {"a b%20#1"}
+
+
 def test_rules_without_manifest_entry_do_not_count(spark):
     folder = new_shared_path(spark, "store")
     rule = ("s", "m", "n", "v", "f", 3, "d", "x", "e", "key")
