@@ -105,15 +105,13 @@ def ingest_stats(validity: DataFrame, statuses: DataFrame, stored: DataFrame) ->
         F.count_if(F.col("status") == "ok").alias("files_processed"),
         F.count_if(F.col("status") == "error").alias("errors"),
     )
-    size_mb = F.round(store_size(stored).scalar() / MEGABYTE, 2)
-    return validity.agg(
+    size = store_size(stored).select(F.round(F.col("store_bytes") / MEGABYTE, 2).alias("store_mb"))
+    found = validity.agg(
         hits.alias("hits"),
         F.count_if(F.col("reason") != "valid").alias("misses"),
         rate.alias("hit_rate_percent"),
-    ).withColumns(
-        {
-            "files_processed": outcome.select("files_processed").scalar(),
-            "errors": outcome.select("errors").scalar(),
-            "store_mb": size_mb,
-        }
     )
+    # global aggregates: one row each, every table is read once
+    one = F.lit(1).alias("_one")
+    joined = found.select("*", one).join(outcome.select("*", one), "_one").join(size.select("*", one), "_one")
+    return joined.drop("_one")

@@ -8,8 +8,9 @@ from quillmap.functions import cells as c
 from quillmap.operators import catalogue as cat
 from quillmap.operators import extraction as ex
 from quillmap.plans import tables as t
-from quillmap.plans.oracle import FILE, FOLDER, KEY, strip, using
+from quillmap.plans.oracle import FILE, FOLDER, KEY, has_error, strip, using
 from quillmap.plans.registry import query
+from quillmap.session import materialise
 
 KEY_COLUMNS = KEY.split(", ")
 FILE_COLUMNS = FILE.split(", ")
@@ -74,7 +75,7 @@ def drop_placeholders(spark, sf_dir):
 
 @query(
     "drop_error_cells",
-    using("cells") + "SELECT l_orderkey, l_linenumber, d AS expression FROM cells WHERE NOT contains(lower(d), '#ref!')",
+    using("cells") + f"SELECT l_orderkey, l_linenumber, d AS expression FROM cells WHERE NOT {has_error('d')}",
 )
 def drop_error_cells(spark, sf_dir):
     return ex.drop_error_cells(_cell_parts(spark, sf_dir))
@@ -190,7 +191,7 @@ FILE_STATUS = """CASE WHEN file_stem LIKE '%Brand7\\_%' ESCAPE '\\' THEN 'error'
 )
 def load_report(spark, sf_dir):
     files = t.cells(spark, sf_dir).select(*FILE_COLUMNS).distinct()
-    workbooks = files.withColumn("path", F.concat_ws("/", *FILE_COLUMNS))
+    workbooks = materialise(files.withColumn("path", F.concat_ws("/", *FILE_COLUMNS)))
     statuses = workbooks.select(
         "path", F.when(F.col("file_stem").contains("Brand7_"), "error")
         .when(F.col("file_stem").contains("Brand9_"), "skipped").otherwise("ok").alias("status"),
@@ -198,17 +199,6 @@ def load_report(spark, sf_dir):
     return cat.load_report(t.rules(spark, sf_dir), workbooks, statuses)
 
 
-@query(
-    "union_files",
-    using("rules") + f"SELECT {KEY}, file_stem, row_no, expression FROM rules",
-)
-def union_files(spark, sf_dir):
-    """Rules read anew and rules read before, as one bag."""
-    rules = t.rules(spark, sf_dir).select(*KEY_COLUMNS, "file_stem", "row_no", "expression")
-    fresh = F.xxhash64(*FILE_COLUMNS) % 2 == 0
-    return rules.where(fresh).unionByName(rules.where(~fresh))
-
-
 @query("union_filenames", using("rules") + f"SELECT DISTINCT {KEY}, file_stem FROM rules")
 def union_filenames(spark, sf_dir):
     return cat.filenames_by_key(t.rules(spark, sf_dir)).drop("first_row_no")

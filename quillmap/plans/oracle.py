@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from quillmap.functions import questions as q
-from quillmap.functions.cells import ERROR_TEXTS
-from quillmap.functions.matching import NOT_OPERATORS
 from quillmap.plans.tables import CELLS, HEADER_ROWS, MANIFEST, QUESTIONS, ROW_ORDER, WORKBOOKS, oracle_text
 
+# Fixed values, stated anew: what the SQL expects must not follow the code it checks.
+ERROR_TEXTS = ("#ref!", "#n/a", "#value!", "#div/0!", "#name?", "#null!")
+NOT_OPERATORS = (
+    "ldrules", "ld", "rules", "mapping", "mappings", "template",
+    "v1", "v2", "v3", "final", "new", "old", "copy",
+)
+
 FOLDER = "source, module, source_name, vendor"
 FILE = f"{FOLDER}, file_stem"
 KEY = f"{FOLDER}, dimension, field"

@@ -28,25 +28,26 @@ def latest_message(spark, sf_dir):
     return questions.latest_message(t.spark_sql(spark, sf_dir, "SELECT * FROM {conversations}"))
 
 
-# Every kind of message, made from the turns: their role, their first word or the whole text.
-MESSAGES = """SELECT conv_id, turn, CASE turn % 9 WHEN 0 THEN ' ' || 'HELP ' WHEN 1 THEN 'Sources'
+# Every turn as it is, and once more as a message of another kind.
+MESSAGES = """SELECT conv_id, turn, 'own' AS form, text FROM {conversations} UNION ALL
+    SELECT conv_id, turn, 'command' AS form, CASE turn % 8 WHEN 0 THEN ' ' || 'HELP ' WHEN 1 THEN 'Sources'
     WHEN 2 THEN 'info' WHEN 3 THEN 'cache' WHEN 4 THEN 'reset cache' WHEN 5 THEN '  '
-    WHEN 6 THEN 'list ' || role ELSE text END AS text FROM {conversations}"""
+    WHEN 6 THEN 'list ' || role ELSE '?' END AS text FROM {conversations}"""
 
 
 @query(
     "message_kind",
-    f"""SELECT conv_id, turn, CASE WHEN word = '' THEN 'empty' WHEN word IN ('help', 'h', '?') THEN 'help'
+    f"""SELECT conv_id, turn, form, CASE WHEN word = '' THEN 'empty' WHEN word IN ('help', 'h', '?') THEN 'help'
         WHEN word IN ('list', 'show all', 'list all', 'sources') THEN 'list'
         WHEN word IN ('stats', 'statistics', 'info') THEN 'stats'
         WHEN word IN ('cache stats', 'cache', 'cachestats') THEN 'cache_stats'
         WHEN word IN ('clear cache', 'clearcache', 'reset cache') THEN 'clear_cache'
         ELSE 'search' END AS kind
-        FROM (SELECT conv_id, turn, {o.strip('lower(text)')} AS word FROM ({t.oracle_text(MESSAGES)}))""",
+        FROM (SELECT conv_id, turn, form, {o.strip('lower(text)')} AS word FROM ({t.oracle_text(MESSAGES)}))""",
 )
 def message_kind(spark, sf_dir):
     messages = t.spark_sql(spark, sf_dir, MESSAGES)
-    return messages.select("conv_id", "turn", qf.message_kind(F.col("text")).alias("kind"))
+    return messages.select("conv_id", "turn", "form", qf.message_kind(F.col("text")).alias("kind"))
 
 
 def _register_parser(name):
@@ -85,7 +86,7 @@ def split_vendors(spark, sf_dir):
 # -------------------------------------------------------------------- matching
 
 # Pairs of names: each part's name in eight spellings against its own name, its
-# own with the other separator, and the name of the next part.
+# own with the other separator, and the name of the next part (of the first after the last).
 NAME_PAIRS = """
 SELECT p.p_partkey AS pair_id, CAST(k AS BIGINT) AS spelling,
        CASE k WHEN 0 THEN p.p_name WHEN 1 THEN replace(p.p_name, ' ', '_')
@@ -94,7 +95,8 @@ SELECT p.p_partkey AS pair_id, CAST(k AS BIGINT) AS spelling,
               WHEN 5 THEN substr(p.p_name, 2) WHEN 6 THEN replace(p.p_name, 'l', 't')
               ELSE upper(p.p_name) || ' code_no' END AS query,
        CASE WHEN k < 6 THEN p.p_name ELSE n.p_name END AS target
-FROM {part} AS p JOIN {part} AS n ON n.p_partkey = p.p_partkey + 1
+FROM {part} AS p JOIN {part} AS n ON n.p_partkey = CASE WHEN p.p_partkey = (SELECT max(p_partkey) FROM {part})
+         THEN (SELECT min(p_partkey) FROM {part}) ELSE p.p_partkey + 1 END
      CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4
                  UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) AS spellings
 """
@@ -103,7 +105,9 @@ FROM {part} AS p JOIN {part} AS n ON n.p_partkey = p.p_partkey + 1
 def _name_pairs(spark, sf_dir):
     """The spellings are exploded here, one row per part and spelling."""
     part = t.spark_sql(spark, sf_dir, "SELECT p_partkey, p_name FROM {part}")
-    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    first_key, last_key = (part.agg(f("p_partkey")).scalar() for f in (F.min, F.max))
+    before = F.when(F.col("p_partkey") == first_key, last_key).otherwise(F.col("p_partkey") - 1)
+    following = part.select(before.alias("p_partkey"), F.col("p_name").alias("next_name"))
     first, second = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
     spellings = [
         F.col("p_name"), F.replace("p_name", F.lit(" "), F.lit("_")), F.concat(second, F.lit(" "), first), first,
@@ -161,7 +165,9 @@ def operator_from_filename(spark, sf_dir):
 
 BRAND_PAIRS = """SELECT p.p_partkey, CASE p.p_partkey % 4 WHEN 0 THEN replace(p.p_brand, '#', '')
     WHEN 1 THEN 'x ' || p.p_brand WHEN 2 THEN 'BRAND' ELSE '' END AS wanted, n.p_brand AS operator
-    FROM {part} AS p JOIN {part} AS n ON n.p_partkey = p.p_partkey + CASE p.p_partkey % 4 WHEN 1 THEN 0 ELSE 1 END"""
+    FROM {part} AS p JOIN {part} AS n ON n.p_partkey = CASE WHEN p.p_partkey % 4 = 1 THEN p.p_partkey
+        WHEN p.p_partkey = (SELECT max(p_partkey) FROM {part}) THEN (SELECT min(p_partkey) FROM {part})
+        ELSE p.p_partkey + 1 END"""
 
 
 @query(
@@ -313,17 +319,19 @@ def result_summary(spark, sf_dir):
     )
 
 
+RESULT_KEY = f"filter_key, {KEY}, operator, filename, row_no"
+RESULT_KEY_COLUMNS = RESULT_KEY.split(", ")
+
+
 @query(
     "confidence_band",
     using("found")
-    + """SELECT filter_key, CASE WHEN confidence_score >= CAST(0.8 AS DOUBLE) THEN 'HIGH'
-         WHEN confidence_score >= CAST(0.6 AS DOUBLE) THEN 'MED' ELSE 'LOW' END AS band, count(*) AS results
-         FROM found GROUP BY ALL""",
+    + f"""SELECT {RESULT_KEY}, CASE WHEN confidence_score >= CAST(0.8 AS DOUBLE) THEN 'HIGH'
+         WHEN confidence_score >= CAST(0.6 AS DOUBLE) THEN 'MED' ELSE 'LOW' END AS band FROM found""",
 )
 def confidence_band(spark, sf_dir):
-    matches, _ = _search(spark, sf_dir)
-    band = m.confidence_band(F.col("confidence_score")).alias("band")
-    return matches.groupBy("filter_key", band).agg(F.sum("expressions").alias("results"))
+    found = search.results(*_search(spark, sf_dir))
+    return found.select(*RESULT_KEY_COLUMNS, m.confidence_band(F.col("confidence_score")).alias("band"))
 
 
 LABELS = " ".join(
@@ -338,15 +346,14 @@ LABELS = " ".join(
 @query(
     "display_columns",
     using("found")
-    + f"""SELECT format('{{:.1f}}%', confidence_score * 100) AS confidence,
+    + f"""SELECT {RESULT_KEY}, format('{{:.1f}}%', confidence_score * 100) AS confidence,
          CASE field_match_type {LABELS} END AS match_label,
-         format('{{:.1f}}%', field_match_score * 100) AS field_match, count(*) AS results
-         FROM found GROUP BY ALL""",
+         format('{{:.1f}}%', field_match_score * 100) AS field_match FROM found""",
 )
 def display_columns(spark, sf_dir):
-    matches, _ = _search(spark, sf_dir)
-    return matches.groupBy(
+    return search.results(*_search(spark, sf_dir)).select(
+        *RESULT_KEY_COLUMNS,
         m.percent(F.col("confidence_score")).alias("confidence"),
         m.match_label(F.col("field_match_type")).alias("match_label"),
         m.percent(F.col("field_match_score")).alias("field_match"),
-    ).agg(F.sum("expressions").alias("results"))
+    )

@@ -158,6 +158,23 @@ def read_saved_extractions(spark, sf_dir):
     return saved.select(*KEY_COLUMNS, "file_stem", "row_no", "expression")
 
 
+@query(
+    "union_files",
+    using("rules") + f"SELECT {KEY}, file_stem, row_no, expression FROM rules",
+)
+def union_files(spark, sf_dir):
+    """Rules of some files from the store, those of the others read anew, as one bag."""
+    rules = materialise(t.rules(spark, sf_dir).withColumn("entry_key", mf.extraction_key(F.concat_ws("/", *FILE_COLUMNS), F.lit(0))))
+    saved = F.xxhash64("entry_key") % 2 == 0
+    files = rules.where(saved).select(
+        "entry_key", F.concat_ws("/", *FILE_COLUMNS).alias("file_path"), F.lit(float(t.NOW - 3600)).alias("file_mtime")
+    )
+    folder = new_shared_path(spark, "store")
+    store.write_extractions(rules.where(saved), files.distinct(), folder, t.NOW)
+    columns = [*KEY_COLUMNS, "file_stem", "row_no", "expression"]
+    return store.read_saved_extractions(spark, folder).select(*columns).unionByName(rules.where(~saved).select(*columns))
+
+
 @query(
     "upgrade_old_extractions",
     using("rules")

@@ -32,8 +32,9 @@ SELECT r_name AS source, n_name AS module, p_type AS source_name, s_name AS vend
        CASE l_returnflag WHEN 'A' THEN ' Dim. ' WHEN 'N' THEN 'Meas.' ELSE '' END AS b,
        CASE WHEN l_linenumber % 2 = 0 THEN replace(p_name, ' ', '_') ELSE p_name END AS c,
        CASE WHEN l_quantity < 2 THEN NULL
-            WHEN l_linenumber = 5 THEN '-'
-            WHEN l_linenumber = 6 THEN '#REF!+1'
+            WHEN l_linenumber = 5 THEN CASE l_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN 'NA' ELSE 'N/A' END
+            WHEN l_linenumber = 6 THEN CASE l_partkey % 6 WHEN 0 THEN '#REF!+1' WHEN 1 THEN '#N/A' WHEN 2 THEN 'x #Value!'
+                 WHEN 3 THEN '#DIV/0!' WHEN 4 THEN 'sum(#NAME?)' ELSE '#NULL!' END
             WHEN l_linenumber = 7 THEN 'n/a'
             ELSE 'src.' || p_name END AS d
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
