@@ -194,7 +194,7 @@ def test_suffix_sort_is_lexicographic():
 def test_colliding_hashes_are_found(monkeypatch):
     """With a base of 1 every permutation collides; the bytes tell and another base is taken."""
     monkeypatch.setattr(suffix_dedup, "_BASES", [np.uint64(1), *suffix_dedup._BASES])
-    texts = [b"abcdefghijklmnopqrst", b"bacdefghijklmnopqrst", b"abcdefghijklmnopqrst"]
+    texts = [b"abcdefghijklmnopqrst", b"abdcefghijklmnopqrst", b"abcdefghijklmnopqrst"]
     table = _table(texts, [8] * 3, [0] * 3, 12, 4)
     assert table.repeated().all(axis=1).tolist() == [True, False, True] and table.attempt == 1
 
