@@ -294,9 +294,10 @@ def _joined(docs: DataFrame, percent: int, width: int) -> DataFrame:
     )
     wanted = sizes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    # an id that is not unique brings other texts along; their classes tell
+    # an id that is not unique brings other texts along; their classes tell. Candidates grow
+    # with the documents: they are met by a shuffle at any size
     fetched = materialise(
-        _of_class(wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cluster", "blocks", "block", "class", "text"), width)
+        _of_class(wanted.hint("merge").join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cluster", "blocks", "block", "class", "text"), width)
     )
     fetched = fetched.withColumn("label", F.col("class"))
     links = materialise(_links(fetched, percent, width))
@@ -309,7 +310,7 @@ def _joined(docs: DataFrame, percent: int, width: int) -> DataFrame:
     )
     grouped = materialise(grouped)
     least = grouped.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(materialise(least), "set", "left").select(
+    return grouped.join(least, "set", "left").select(
         "doc_id", *KEY, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
