@@ -12,16 +12,13 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of `links` (one, other); root is a component's least node.
 
     Each round ties the larger neighbours of a node to its least one, then the smaller ones
-    (large star, small star). Rounds end when the links no longer change: they then are
-    stars around the least nodes. Only links move; they are written after each round.
+    (large star, small star). Rounds end when all links are stars around least nodes. Only
+    links move; they are written after each round.
     """
     edges = materialise(
-        links.where("one <> other")
-        .select(F.greatest("one", "other").alias("one"), F.least("one", "other").alias("other"))
-        .distinct()
+        links.where("one <> other").select(F.greatest("one", "other").alias("one"), F.least("one", "other").alias("other")).distinct()
     )
-    state = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("other").alias("one"), F.col("one").alias("other")))
         least = both.groupBy("one").agg(F.min("other").alias("least"))
         large = (
@@ -30,27 +27,16 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("other").alias("one"), F.col("least").alias("other"))
             .distinct()
         )
-        large = materialise(large)
         least = large.groupBy("one").agg(F.min("other").alias("least"))
-        small = (
-            large.join(least, "one")
-            .select(
-                F.explode(
-                    F.array(
-                        F.struct(F.col("one").alias("one"), F.col("least").alias("other")),
-                        F.struct(F.col("other").alias("one"), F.col("least").alias("other")),
-                    )
-                ).alias("e")
-            )
-            .select("e.*")
-            .where("one <> other")
-            .distinct()
-        )
-        edges = materialise(small)
-        # order does not matter to a sum; decimals do not overflow
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("one", "other").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        tied = F.explode(F.array(F.struct("one", "least"), F.struct(F.col("other").alias("one"), "least")))
+        small = large.join(least, "one").select(tied.alias("e")).select("e.one", F.col("e.least").alias("other"))
+        edges = materialise(small.where("one <> other").distinct())
     roots = edges.select("other").distinct().select(F.col("other").alias("node"), F.col("other").alias("root"))
-    return materialise(edges.select(F.col("one").alias("node"), F.col("other").alias("root")).unionByName(roots))
+    return edges.select(F.col("one").alias("node"), F.col("other").alias("root")).unionByName(roots)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link to a smaller node, which has none itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("one").alias("node"), F.lit(1).alias("down")), F.struct(F.col("other").alias("node"), F.lit(0).alias("down")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.down").alias("down"), F.min("e.down").alias("root"))
+    return nodes.where("down > 1 OR (down = 1 AND root = 0)").isEmpty()
