@@ -191,22 +191,26 @@ def upgrade_old_extractions(spark, sf_dir):
 
 @query(
     "stream_new_workbooks",
-    _book_rules(READABLE) + f"SELECT {KEY}, file_stem, row_no, expression FROM rules",
+    _book_rules(READABLE)
+    + f"""SELECT {KEY}, file_stem, row_no, expression, NULL AS status FROM rules UNION ALL
+          SELECT {FOLDER}, NULL, NULL, file_stem, NULL, NULL, CASE WHEN {READABLE} THEN 'ok' ELSE 'error' END
+          FROM (SELECT DISTINCT {FILE} FROM books)""",
 )
 def stream_new_workbooks(spark, sf_dir):
-    """Two arrivals of workbooks, each followed by a run of the stream."""
+    """Two arrivals of workbooks, each followed by a run of the stream: its rules, and every workbook's status."""
     books = materialise(workbook_files(spark, sf_dir))
-    arrived, out, checkpoint = (new_shared_path(spark, n) for n in ("arrived", "streamed", "offsets"))
+    arrived, folder, checkpoint = (new_shared_path(spark, n) for n in ("arrived", "store", "offsets"))
     first = F.xxhash64("path") % 2 == 0
     for part in (books.where(first), books.where(~first)):
         part.write.mode("append").parquet(arrived)
         files = spark.readStream.schema(books.schema).parquet(arrived)
-        start_stream(files, out, checkpoint).awaitTermination()
-    streamed = spark.read.schema(
-        "source string, module string, source_name string, vendor string, file_stem string,"
-        " row_no bigint, dimension string, field string, expression string"
-    ).parquet(out)
-    return streamed.select(*KEY_COLUMNS, "file_stem", "row_no", "expression")
+        start_stream(files, folder, checkpoint).awaitTermination()
+    columns = [*KEY_COLUMNS, "file_stem", "row_no", "expression"]
+    rules = store.read_saved_extractions(spark, folder).select(*columns, F.lit(None).cast("string").alias("status"))
+    statuses = wb.with_folder_levels(store.read_statuses(spark, folder))
+    nothing = {c: F.lit(None).cast(rules.schema[c].dataType) for c in rules.columns}
+    told = {c: F.col(c) for c in (*FOLDER_COLUMNS, "file_stem", "status")}
+    return rules.unionByName(statuses.select(*[x.alias(c) for c, x in (nothing | told).items()]))
 
 
 # -------------------------------------------------------------------- manifest

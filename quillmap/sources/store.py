@@ -1,8 +1,10 @@
-"""The extraction store: two parquet tables, `rules` and `manifest`.
+"""The extraction store: three parquet tables, `rules`, `manifest` and `statuses`.
 
-Rules are written first and their manifest entries second, and both carry the
-load_id of the write. Rules count only with an entry of the same key and load, so
-a load that fails in between leaves rows that nothing reads, and is repeated.
+All are partitioned by load, and writing a load replaces what it wrote before: a load
+that is repeated counts once. Rules are written first and their manifest entries second;
+rules count only with an entry of the same key and load, so a load that fails in
+between leaves rows that nothing reads. A load all of whose entries were read again
+by later ones is superseded and can go as a whole.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from quillmap.operators.manifest import (
     manifest_validity,
 )
 from quillmap.operators.search import with_operator
-from quillmap.schemas import KEY, MANIFEST, RULES
+from quillmap.schemas import KEY, MANIFEST, RULES, STATUSES
 from quillmap.session import materialise
 from quillmap.sources.workbooks import (
     decode_workbooks,
@@ -38,12 +40,8 @@ from quillmap.sources.workbooks import (
 )
 
 
-def _rules_path(store: str) -> str:
-    return f"{store.rstrip('/')}/rules"
-
-
-def _manifest_path(store: str) -> str:
-    return f"{store.rstrip('/')}/manifest"
+def _path(store: str, table: str) -> str:
+    return f"{store.rstrip('/')}/{table}"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -56,49 +54,107 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def stored_files(spark: SparkSession, store: str) -> DataFrame:
+    """path, length, kind (the table) and load_id of every file of the store; for store_size."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store).drop("content")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, length bigint, kind string, load_id string")
+    place = r"/(rules|manifest|statuses)/load_id=([^/]*)/"
+    return files.select(
+        "path",
+        "length",
+        F.regexp_extract("path", place, 1).alias("kind"),
+        F.regexp_extract("path", place, 2).alias("load_id"),
+    )
+
+
 def read_manifest_table(spark: SparkSession, store: str) -> DataFrame:
-    return _read(spark, _manifest_path(store), MANIFEST)
+    """Entries with `entry_bytes`: the entry's share of the files of its load.
+
+    The rules' files are shared out by text, the manifest's by entry. NULL says that the
+    entry has rules but its load has no files of rules any more.
+    """
+    entries = _read(spark, _path(store, "manifest"), MANIFEST.replace("entry_bytes", "text_bytes"))
+    is_rules, is_manifest = F.col("kind") == "rules", F.col("kind") == "manifest"
+    loads = (
+        stored_files(spark, store)
+        .groupBy("load_id")
+        .agg(F.sum(F.when(is_rules, F.col("length"))).alias("rules"), F.sum(F.when(is_manifest, F.col("length"))).alias("entries"))
+    )
+    sums = entries.groupBy("load_id").agg(F.sum("text_bytes").alias("all_text"), F.count("*").alias("all_entries"))
+    of_rules = F.when(F.col("text_bytes") > 0, F.col("rules") * F.col("text_bytes") / F.col("all_text")).otherwise(0)
+    size = F.floor(of_rules + F.col("entries") / F.col("all_entries")).alias("entry_bytes")
+    columns = [part.split()[0] for part in MANIFEST.split(", ")]
+    return entries.join(sums.join(loads, "load_id", "left"), "load_id").select(*entries.columns, size).select(*columns)
 
 
-def write_extractions(rules: DataFrame, files: DataFrame, store: str, now: float) -> str:
-    """Append rules and one manifest entry per file; returns the load_id.
+def superseded_loads(spark: SparkSession, store: str) -> DataFrame:
+    """load_id, files, bytes of loads whose entries were all read again later, or that never got any."""
+    entries = _read(spark, _path(store, "manifest"), MANIFEST.replace("entry_bytes", "text_bytes"))
+    used = latest_entries(entries).select("load_id").distinct()
+    loads = stored_files(spark, store).groupBy("load_id").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return loads.where("load_id <> ''").join(used, "load_id", "left_anti")
+
+
+def _write_load(rows: DataFrame, path: str, *within: str) -> None:
+    """Replace the partitions of the load that `rows` belong to, and no others."""
+    writer = rows.write.partitionBy("load_id", *within).option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").parquet(path)
+
+
+def write_extractions(rules: DataFrame, files: DataFrame, store: str, now: float, load_id: str | None = None) -> str:
+    """Write rules and one manifest entry per file as one load; returns its load_id.
 
     rules: folder key, file_stem, row_no, dimension, field, expression, entry_key.
     files: entry_key, file_path, file_mtime; a file without rules gets its entry too.
     """
-    load_id = uuid.uuid4().hex
+    load = load_id or uuid.uuid4().hex
     # rebalance splits what is large and joins what is small within each partition value
-    rows = with_operator(rules).withColumn("load_id", F.lit(load_id)).hint("rebalance", "source", "module")
-    rows.write.partitionBy("source", "module").mode("append").parquet(_rules_path(store))
+    rows = with_operator(rules).withColumn("load_id", F.lit(load)).hint("rebalance", "source", "module")
+    _write_load(rows, _path(store, "rules"), "source", "module")
 
     keys = rules.groupBy("entry_key", "dimension", "field").agg(
         F.sum(F.octet_length("expression") + F.octet_length("dimension") + F.octet_length("field")).alias("bytes")
     )
     counts = keys.groupBy("entry_key").agg(
-        F.count("*").alias("data_size"), F.sum("bytes").alias("entry_bytes")
+        F.count("*").alias("data_size"), F.sum("bytes").alias("text_bytes")
     )
     entries = (
         files.join(counts, "entry_key", "left")
-        .fillna(0, ["data_size", "entry_bytes"])
+        .fillna(0, ["data_size", "text_bytes"])
         .withColumns(
             {
                 "timestamp": F.lit(float(now)),
                 "cache_version": F.lit(STORE_VERSION).cast("bigint"),
-                "load_id": F.lit(load_id),
+                "load_id": F.lit(load),
             }
         )
     )
-    columns = [part.split()[0] for part in MANIFEST.split(", ")]
-    entries.select(*columns).write.mode("append").parquet(_manifest_path(store))
-    return load_id
+    columns = [part.split()[0] for part in MANIFEST.replace("entry_bytes", "text_bytes").split(", ")]
+    _write_load(entries.select(*columns), _path(store, "manifest"))
+    return load
+
+
+def write_statuses(statuses: DataFrame, store: str, load_id: str) -> None:
+    """path, status and error of every workbook of a load."""
+    rows = statuses.select("path", "status", "error", F.lit(load_id).alias("load_id"))
+    _write_load(rows, _path(store, "statuses"))
+
+
+def read_statuses(spark: SparkSession, store: str) -> DataFrame:
+    return _read(spark, _path(store, "statuses"), STATUSES)
 
 
 def read_saved_extractions(spark: SparkSession, store: str, valid_keys: DataFrame | None = None) -> DataFrame:
     """Rules of the newest load of every entry, or of the given entries only."""
-    entries = latest_entries(read_manifest_table(spark, store)).select("entry_key", "load_id")
+    manifest = _read(spark, _path(store, "manifest"), MANIFEST.replace("entry_bytes", "text_bytes"))
+    entries = latest_entries(manifest).select("entry_key", "load_id")
     if valid_keys is not None:
         entries = entries.join(valid_keys.select("entry_key").distinct(), "entry_key", "left_semi")
-    return _read(spark, _rules_path(store), RULES).join(entries, ["entry_key", "load_id"], "left_semi")
+    return _read(spark, _path(store, "rules"), RULES).join(entries, ["entry_key", "load_id"], "left_semi")
 
 
 def upgrade_old_extractions(old: DataFrame, saved: DataFrame) -> DataFrame:
@@ -173,13 +229,25 @@ def ingest(
 def _load(files: DataFrame, extraction: Extraction, store: str, now: float) -> DataFrame:
     """Read the listed workbooks into the store; returns their statuses."""
     partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = files.select("path", "entry_key").repartition(partitions, "path")
-    decoded = materialise(decode_workbooks(spread, extraction.sheet, extraction.width()))
-    statuses = file_statuses(decoded)
+    decoded = decode_workbooks(files.select("path", "entry_key").repartition(partitions, "path"), extraction.sheet, extraction.width())
+    return store_workbooks(files, decoded, extraction, store, now, uuid.uuid4().hex)
+
+
+def store_workbooks(
+    files: DataFrame, decoded: DataFrame, extraction: Extraction, store: str, now: float, load_id: str
+) -> DataFrame:
+    """Write decoded workbooks as one load, statuses first; returns the statuses.
+
+    files: path, entry_key, mtime. A workbook that was not read has a status and no entry.
+    """
+    decoded = materialise(decoded)
+    statuses = file_statuses(decoded).drop("entry_key")
     read = statuses.where(F.col("status") == "ok").select("path")
+    if not statuses.isEmpty():
+        write_statuses(statuses, store, load_id)
     if not read.isEmpty():
         rules = with_operator(extraction.rules(sheet_grid(decoded)).drop("path"))
         kept = files.join(read, "path", "left_semi")
         entries = kept.select("entry_key", F.col("path").alias("file_path"), F.col("mtime").alias("file_mtime"))
-        write_extractions(rules, entries, store, now)
-    return statuses.drop("entry_key")
+        write_extractions(rules, entries, store, now, load_id)
+    return statuses

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmap.schemas import WORKBOOK_FILE
-from quillmap.sources.store import Extraction
-from quillmap.sources.workbooks import (
-    RULE_FOLDER,
-    WORKBOOK_GLOB,
-    decode_workbooks,
-    keep_workbooks,
-    sheet_grid,
-)
+from quillmap.session import materialise
+from quillmap.sources.store import Extraction, keyed_workbooks, store_workbooks
+from quillmap.sources.workbooks import RULE_FOLDER, WORKBOOK_GLOB, decode_workbooks
 
 
 def workbook_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -28,20 +27,29 @@ def workbook_stream(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_new_workbooks(
-    files: DataFrame, out: str, checkpoint: str, extraction: Extraction = Extraction()
+    files: DataFrame,
+    store: str,
+    checkpoint: str,
+    extraction: Extraction = Extraction(),
+    stream: str = "stream",
+    clock: Callable[[], float] = time.time,
 ) -> StreamingQuery:
-    """Append the rules of all workbooks that arrived since the last run, then stop.
+    """Bring all workbooks that arrived since the last run into the store, then stop.
 
-    Offsets and the file sink's log make every workbook count once, also when a
-    run fails and is repeated.
+    Every batch is one load of the store, named by `stream` and its number: rules, manifest
+    entries and the status of every workbook, the broken ones included. A batch that is
+    repeated after a failure replaces what it wrote before.
     """
-    decoded = decode_workbooks(keep_workbooks(files), extraction.sheet, extraction.width())
-    rules = extraction.rules(sheet_grid(decoded))
+
+    def write(batch: DataFrame, number: int) -> None:
+        keyed = keyed_workbooks(batch, extraction)
+        listing = materialise(keyed.select("path", "entry_key", F.col("mtime")))
+        decoded = decode_workbooks(keyed.select("path", "entry_key", "content"), extraction.sheet, extraction.width())
+        store_workbooks(listing, decoded, extraction, store, clock(), f"{stream}-{number}")
+
     return (
-        rules.writeStream.format("parquet")
-        .option("path", out)
+        files.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("source")
         .trigger(availableNow=True)
         .start()
     )

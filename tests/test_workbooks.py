@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quillmap.operators.manifest import MEGABYTE, retention_plan, store_size
 from quillmap.plans.workbook_tables import NAMESPACE, workbook_bytes
 from quillmap.session import new_shared_path
 from quillmap.sources import store
@@ -148,7 +149,7 @@ def test_rules_without_manifest_entry_do_not_count(spark):
     folder = new_shared_path(spark, "store")
     rule = ("s", "m", "n", "v", "f", 3, "d", "x", "e", "key")
     rules = spark.createDataFrame([rule], "source string, module string, source_name string, vendor string, file_stem string, row_no bigint, dimension string, field string, expression string, entry_key string")
-    rules.withColumn("load_id", F.lit("failed")).write.partitionBy("source", "module").parquet(f"{folder}/rules")
+    rules.withColumn("load_id", F.lit("failed")).write.partitionBy("load_id", "source", "module").parquet(f"{folder}/rules")
     assert store.read_saved_extractions(spark, folder).count() == 0
     files = spark.createDataFrame([("key", "/f", 1.0)], "entry_key string, file_path string, file_mtime double")
     store.write_extractions(rules, files, folder, 5.0)
@@ -165,18 +166,52 @@ def test_old_rows_get_a_filename(spark):
 
 
 def test_stream_reads_every_file_once(spark, tmp_path):
-    root, out, offsets = tmp_path / "root", new_shared_path(spark, "out"), new_shared_path(spark, "offsets")
+    root, folder, offsets = tmp_path / "root", new_shared_path(spark, "store"), new_shared_path(spark, "offsets")
     book = lambda text: workbook_bytes({"S": [*ROWS[:2], (3, ["", "Dim.", "f", text])]})
 
     def run():
-        stream_new_workbooks(workbook_stream(spark, str(root)), out, offsets).awaitTermination()
-        return sorted(r.expression for r in spark.read.parquet(out).collect())
+        stream_new_workbooks(workbook_stream(spark, str(root)), folder, offsets, clock=lambda: 7.0).awaitTermination()
+        statuses = {r.path.rsplit("/", 1)[1]: r.status for r in store.read_statuses(spark, folder).collect()}
+        return sorted(r.expression for r in store.read_saved_extractions(spark, folder).collect()), statuses
 
     _tree(root, {f"{FOLDER}/a.xlsx": book("one"), f"{FOLDER}/bad.xlsx": b"zzz"})
-    assert run() == ["one"]
+    assert run() == (["one"], {"a.xlsx": "ok", "bad.xlsx": "error"})
     _tree(root, {f"{FOLDER}/b.xlsx": book("two")})
-    assert run() == ["one", "two"]
-    assert run() == ["one", "two"]
+    assert run() == (["one", "two"], {"a.xlsx": "ok", "bad.xlsx": "error", "b.xlsx": "ok"})
+    assert run()[0] == ["one", "two"]
+    assert {r.load_id for r in store.read_manifest_table(spark, folder).collect()} == {"stream-0", "stream-1"}
+
+
+def test_a_repeated_load_counts_once(spark):
+    folder = new_shared_path(spark, "store")
+    rule = ("s", "m", "n", "v", "f", 3, "d", "x", "e", "key")
+    rules = spark.createDataFrame([rule], "source string, module string, source_name string, vendor string, file_stem string, row_no bigint, dimension string, field string, expression string, entry_key string")
+    files = spark.createDataFrame([("key", "/f", 1.0)], "entry_key string, file_path string, file_mtime double")
+    for _ in range(2):
+        store.write_extractions(rules, files, folder, 5.0, "load-1")
+    assert store.read_saved_extractions(spark, folder).count() == 1
+    assert store.read_manifest_table(spark, folder).count() == 1
+    assert store.superseded_loads(spark, folder).count() == 0
+    store.write_extractions(rules, files, folder, 6.0, "load-2")
+    assert [r.load_id for r in store.superseded_loads(spark, folder).collect()] == ["load-1"]
+
+
+def test_retention_counts_what_is_stored(spark):
+    folder = new_shared_path(spark, "store")
+    schema = "source string, module string, source_name string, vendor string, file_stem string, row_no bigint, dimension string, field string, expression string, entry_key string"
+    for load in range(4):
+        keys = [f"{load}-{i}" for i in range(30)]
+        rules = spark.createDataFrame([("s", "m", "n", "v", "f", j, "d", f"x{j}", k * 9, k) for k in keys for j in range(40)], schema)
+        files = spark.createDataFrame([(k, f"/{k}", 1.0) for k in keys], "entry_key string, file_path string, file_mtime double")
+        store.write_extractions(rules, files, folder, float(load))
+    entries, stored = store.read_manifest_table(spark, folder), store.stored_files(spark, folder)
+    size = store_size(stored).first()[0]
+    assert 0.97 * size <= entries.agg(F.sum("entry_bytes")).first()[0] <= size
+    plan = retention_plan(entries, stored, 0.9 * size / MEGABYTE).collect()
+    gone = [r for r in plan if r.dropped]
+    left = size - sum(r.entry_bytes for r in gone)
+    assert left <= 0.8 * 0.9 * size < left + max(r.entry_bytes for r in gone)
+    assert max(r.timestamp for r in gone) <= min(r.timestamp for r in plan if not r.dropped)
 
 
 def test_executors_need_not_have_the_package(tmp_path):
