@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from quillmap.functions import questions as q
-from quillmap.plans.tables import CELLS, HEADER_ROWS, MANIFEST, QUESTIONS, ROW_ORDER, WORKBOOKS, oracle_text
+from quillmap.plans.tables import CELLS, HEADER_ROWS, KNOWN, MANIFEST, QUESTIONS, ROW_ORDER, WORKBOOKS, oracle_text
 
 # Fixed values, stated anew: what the SQL expects must not follow the code it checks.
 ERROR_TEXTS = ("#ref!", "#n/a", "#value!", "#div/0!", "#name?", "#null!")
@@ -25,10 +24,6 @@ def has_error(text: str) -> str:
     return "(" + " OR ".join(f"contains(lower({text}), '{e}')" for e in ERROR_TEXTS) + ")"
 
 
-def sql_text(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 STEPS = {
     "cells": oracle_text(CELLS),
     "grid": f"""SELECT {FILE}, {HEADER_ROWS} + row_number() OVER (
@@ -71,31 +66,12 @@ def using(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in order) + "\n"
 
 
-# --- question parsing
-
-
-def first_match(patterns: tuple[str, ...], text: str = "lower(text)") -> str:
-    found = [f"nullif(regexp_extract({text}, {sql_text(p)}, 1), '')" for p in patterns]
-    return f"coalesce({', '.join(found)})"
+# --- question parsing: what the questions were made from, not what the patterns find
 
-
-# The oracle has no look-ahead; in these questions it never decides.
-PARSED = {
-    "field": first_match(q.FIELD_PATTERNS),
-    "dimension": first_match(q.DIMENSION_PATTERNS),
-    "source": first_match(tuple(p.replace(r"(?!\s*name)", "") for p in q.SOURCE_PATTERNS)),
-    "module": first_match(q.MODULE_PATTERNS),
-    "source_name": first_match(q.SOURCE_NAME_PATTERNS),
-    "vendor": first_match(q.VENDOR_PATTERNS),
-    "operator": first_match(q.OPERATOR_PATTERNS),
-}
-FILTERS = ", ".join(q.FILTERS)
-FILTER_KEY = "md5(CAST(to_json(struct_pack(" + ", ".join(f"{f} := {f}" for f in q.FILTERS) + ")) AS VARCHAR))"
-step(
-    "parsed",
-    "SELECT question_id, " + ", ".join(f"{PARSED[f]} AS {f}" for f in q.FILTERS) + " FROM questions",
-    "questions",
-)
+FILTER_NAMES = ("field", "dimension", "source", "module", "source_name", "vendor", "operator")
+FILTERS = ", ".join(FILTER_NAMES)
+FILTER_KEY = "md5(CAST(to_json(struct_pack(" + ", ".join(f"{f} := {f}" for f in FILTER_NAMES) + ")) AS VARCHAR))"
+step("parsed", oracle_text(KNOWN))
 step("keyed", f"SELECT *, {FILTER_KEY} AS filter_key FROM parsed", "parsed")
 step("filters", f"SELECT DISTINCT filter_key, {FILTERS} FROM keyed", "keyed")
 
@@ -139,16 +115,16 @@ TYPES = [
 
 
 def operator_name(stem: str, source_name: str, vendor: str) -> str:
-    rest = rf"regexp_replace({stem}, '(?i)^LdRules[_\-\s]*', '_', 'g')"
-    rest = rf"regexp_replace({rest}, '(?i)[_\-\s]*LdRules$', '_', 'g')"
-    rest = rf"regexp_replace({rest}, '(?i)[_\-\s]*LdRules[_\-\s]*', '_', 'g')"
+    rest = rf"regexp_replace({stem}, '(?i)^LdRules[_\-\s ]*', '_', 'g')"
+    rest = rf"regexp_replace({rest}, '(?i)[_\-\s ]*LdRules$', '_', 'g')"
+    rest = rf"regexp_replace({rest}, '(?i)[_\-\s ]*LdRules[_\-\s ]*', '_', 'g')"
     never = ", ".join(f"'{w}'" for w in NOT_OPERATORS)
     keep = " AND ".join(
         f"NOT contains(lower(w), lower({known})) AND NOT contains(lower({known}), lower(w))"
         for known in (source_name, vendor)
     )
     parts = (
-        rf"list_filter(string_split_regex({rest}, '[_\-\s]+'), lambda w: w <> '' AND {keep}"
+        rf"list_filter(string_split_regex({rest}, '[_\-\s ]+'), lambda w: w <> '' AND {keep}"
         rf" AND NOT regexp_full_match(w, '\d+') AND lower(w) NOT IN ({never}))"
     )
     return f"coalesce(nullif(array_to_string({parts}, '_'), ''), 'Unknown')"

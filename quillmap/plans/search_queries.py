@@ -51,7 +51,7 @@ def message_kind(spark, sf_dir):
 
 
 def _register_parser(name):
-    @query(f"parse_{name}", using("questions") + f"SELECT question_id, {o.PARSED[name]} AS {name} FROM questions")
+    @query(f"parse_{name}", using("parsed") + f"SELECT question_id, {name} FROM parsed")
     def run(spark, sf_dir):
         return t.questions(spark, sf_dir).select("question_id", qf.PARSERS[name](F.col("text")).alias(name))
 

@@ -26,7 +26,8 @@ ORACLE = {"array": "[{}]", "epoch": "CAST(epoch({}) AS BIGINT)"}
 # One row per line item, as a sheet row: A is the line number, B to D are the cells that count.
 CELLS = """
 SELECT r_name AS source, n_name AS module, p_type AS source_name, s_name AS vendor,
-       'LdRules_' || replace(p_brand, '#', '') || '_' || p_type || '_' || s_name AS file_stem,
+       CASE WHEN p_partkey % 2 = 0 THEN 'LdRules_' ELSE 'LdRules\u00a0' END
+           || replace(p_brand, '#', '') || '_' || p_type || '_' || s_name AS file_stem,
        l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity,
        CAST(l_linenumber AS VARCHAR(11)) AS a,
        CASE l_returnflag WHEN 'A' THEN ' Dim. ' WHEN 'N' THEN 'Meas.' ELSE '' END AS b,
@@ -45,7 +46,7 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 ROW_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
 
 # One question per part; every eleventh name or so is misspelt.
-QUESTIONS = """
+_TEXT = """
 SELECT p_partkey AS question_id,
        CASE p_partkey % 6
        WHEN 0 THEN 'Give me the mapping for field ''' || asked || ''''
@@ -57,6 +58,8 @@ SELECT p_partkey AS question_id,
        ELSE 'get me logics for ''' || asked || ''' where source is ' || r_name || ', module is ' || n_name
             || ', source name is ' || p_type || ', vendor is ' || s_name
             || ' and operator is ' || replace(p_brand, '#', '') END AS text
+"""
+ASKED = """
 FROM (SELECT part.*, CASE p_partkey % 11 WHEN 4 THEN substr(p_name, 2) WHEN 7 THEN p_name || 'es'
                                          ELSE p_name END AS asked,
              p_partkey % (SELECT max(s_suppkey) + 1 FROM {supplier}) AS suppkey
@@ -66,6 +69,23 @@ FROM (SELECT part.*, CASE p_partkey % 11 WHEN 4 THEN substr(p_name, 2) WHEN 7 TH
      JOIN {region} ON n_regionkey = r_regionkey
 """
 
+QUESTIONS = _TEXT + ASKED
+# What each question asks for, by the columns it was made from. Values end at a blank unless they are quoted.
+KNOWN = (
+    """
+SELECT p_partkey AS question_id,
+       lower(CASE p_partkey % 6 WHEN 3 THEN NULL WHEN 1 THEN replace(asked, ' ', '_') WHEN 4 THEN replace(asked, ' ', '_')
+             ELSE asked END) AS field,
+       CASE WHEN p_partkey % 6 = 4 THEN CASE WHEN p_partkey % 4 = 0 THEN 'dim' ELSE 'meas' END END AS dimension,
+       CASE WHEN p_partkey % 6 IN (1, 5) THEN split_part(lower(r_name), ' ', 1) END AS source,
+       CASE WHEN p_partkey % 6 IN (3, 5) THEN split_part(lower(n_name), ' ', 1) END AS module,
+       CASE WHEN p_partkey % 6 = 5 THEN split_part(lower(p_type), ' ', 1) END AS source_name,
+       CASE WHEN p_partkey % 6 IN (2, 5) THEN lower(s_name) END AS vendor,
+       CASE WHEN p_partkey % 6 = 5 THEN replace(lower(p_brand), '#', '') END AS operator
+"""
+    + ASKED
+)
+
 # One workbook per order; every tenth was never read.
 WORKBOOKS = """
 SELECT o_orderkey, '/data/rules/S' || CAST(o_custkey % 5 AS VARCHAR(20)) || '/M/N/V/LdRules/file_'
