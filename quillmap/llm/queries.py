@@ -183,4 +183,38 @@ ORACLE: dict[str, str] = {
         FROM sized d
         JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
         JOIN placed g ON d.source IS NOT DISTINCT FROM g.source AND d.hash = g.hash""",
+    "op10_line_templates": r"""
+        WITH texts AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents),
+        lines AS (SELECT t, unnest(list_distinct(string_split(t, chr(10)))) AS line FROM texts),
+        digests AS (SELECT t, list_sort(list(md5(line))) AS digest FROM lines GROUP BY t),
+        words AS (SELECT t, line, regexp_extract_all(line, '[^\x20\x09\x0B-\x0D]+') AS w FROM lines),
+        masked AS (
+            SELECT t, line, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS m
+            FROM words WHERE len(w) >= 3),
+        leaves AS (SELECT t, line, m, len(m) || ' ' || m[1] || ' ' || m[2] || ' ' || m[3] AS leaf FROM masked),
+        often AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT t) >= 10),
+        held AS (SELECT l.t, l.line, l.m, l.leaf FROM leaves l JOIN often o ON l.leaf = o.leaf),
+        places AS (SELECT t, line, leaf, unnest(m) AS token, unnest(range(1, len(m) + 1)) AS place FROM held),
+        constants AS (
+            SELECT leaf, place, token FROM places WHERE token <> '<*>' GROUP BY leaf, place, token HAVING count(*) >= 10),
+        shown AS (
+            SELECT p.t, p.line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY p.place) AS template,
+                count(c.token) AS constants, count(*) AS length
+            FROM places p LEFT JOIN constants c ON p.leaf = c.leaf AND p.place = c.place AND p.token = c.token
+            GROUP BY p.t, p.line),
+        told AS (
+            SELECT s.t, s.line, s.template, CASE WHEN d.digest[1] = md5(s.line) THEN d.digest[2] ELSE d.digest[1] END AS rest
+            FROM shown s JOIN digests d ON s.t = d.t WHERE 2 * s.constants >= s.length),
+        recurring AS (
+            SELECT template FROM told GROUP BY template
+            HAVING count(DISTINCT rest) >= 10 AND 3 * count(DISTINCT rest) >= count(DISTINCT t)),
+        gone AS (
+            SELECT o.t, list(o.line) AS gone FROM told o JOIN recurring r ON o.template = r.template GROUP BY o.t),
+        kept AS (
+            SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS had,
+                list_filter(string_split(d.text, chr(10)), lambda x: g.gone IS NULL OR NOT list_contains(g.gone, x)) AS has
+            FROM documents d LEFT JOIN gone g ON coalesce(d.text, '') = g.t)
+        SELECT doc_id, coalesce(len(had), 0) AS n_lines, coalesce(len(had) - len(has), 0) AS n_dropped,
+            sha256(coalesce(array_to_string(has, chr(10)), '')) AS kept_sha256
+        FROM kept""",
 }
