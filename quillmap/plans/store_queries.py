@@ -61,7 +61,7 @@ def filter_workbook_files(spark, sf_dir):
 # Rows as the workbooks hold them: headers, numbering within the workbook, broken files gone.
 step(
     "books",
-    f"""SELECT {FOLDER}, file_stem || CASE WHEN part > 0 THEN '_' || part ELSE '' END AS file_stem,
+    f"""SELECT {FOLDER}, file_stem || '_' || part AS file_stem,
             (row_no - {FIRST_ROW}) % {ROWS_PER_WORKBOOK} + {FIRST_ROW} AS row_no, a, b, c, d
         FROM (SELECT *, (row_no - {FIRST_ROW}) // {ROWS_PER_WORKBOOK} AS part FROM grid)""",
     "grid",

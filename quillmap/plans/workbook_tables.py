@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quillmap.plans import tables as t
 from quillmap.schemas import FOLDER, WORKBOOK_FILE
 
-ROWS_PER_WORKBOOK = 1_000
+ROWS_PER_WORKBOOK = 5
 FIRST_ROW = t.HEADER_ROWS + 1
 HEADERS = (["No", "Dim./Meas.", "Name", "Mapping"], ["", "type", "field", "rule"])
 MODIFIED = "2001-08-01 12:00:00"
@@ -93,8 +93,7 @@ def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, modificationTime, length, content of all workbooks."""
     at = F.col("row_no") - FIRST_ROW
     part = F.floor(at / ROWS_PER_WORKBOOK)
-    suffix = F.when(part > 0, F.concat(F.lit("_"), part.cast("string"))).otherwise("")
-    name = F.concat("file_stem", suffix, F.lit(".xlsx"))
+    name = F.concat("file_stem", F.lit("_"), part.cast("string"), F.lit(".xlsx"))
     path = F.concat_ws("/", F.lit("/data/rules"), *FOLDER, F.lit("LdRules"), name)
     row = F.struct((at % ROWS_PER_WORKBOOK + FIRST_ROW).alias("sheet_row"), "cells")
     sheets = t.grid(spark, sf_dir).groupBy(path.alias("path")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
