@@ -32,8 +32,11 @@ def sheet_rows(content: bytes, sheet: int | str, width: int) -> Iterator[tuple[i
         mac_dates = settings is not None and settings.get("date1904") in ("1", "true")
         epoch = dt.datetime(1904, 1, 1) if mac_dates else dt.datetime(1899, 12, 30)
         with book.open(part) as stream:
-            row_no = 0
-            for _, row in ElementTree.iterparse(stream):
+            row_no, rows = 0, None
+            for event, row in ElementTree.iterparse(stream, ("start", "end")):
+                if event == "start":
+                    rows = row if row.tag == MAIN + "sheetData" else rows
+                    continue
                 if row.tag != MAIN + "row":
                     continue
                 row_no = int(row.get("r", row_no + 1))
@@ -46,6 +49,8 @@ def sheet_rows(content: bytes, sheet: int | str, width: int) -> Iterator[tuple[i
                         cells[position - 1] = _text(cell, strings, styles, epoch)
                 yield row_no, cells[: min(last, width)]
                 row.clear()
+                if rows is not None:
+                    rows.clear()  # else every empty row stays under it
 
 
 def _xml(book: zipfile.ZipFile, name: str) -> ElementTree.Element:
