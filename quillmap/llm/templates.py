@@ -23,77 +23,82 @@ MIN_DOCS = 10
 APART = 3
 VARIABLE = "<*>"
 #: A token with a digit or of an address is variable wherever it stands.
-_FIELD = r"[^\x20\x09-\x0D0-9@]*+(?:[0-9@]|://)[^\x20\x09-\x0D]*+"
+_FIELD = r"[0-9@]|://"
 _BREAK = r"[\x20\x09\x0B-\x0D]+"
 
 
-def masked(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), _FIELD, VARIABLE)
-
-
 def tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, _BREAK), "")
 
 
+def masked(words: Column) -> Column:
+    return F.transform(words, lambda w: F.when(w.rlike(_FIELD), VARIABLE).otherwise(w))
+
+
 def _leaf() -> Column:
-    return F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
+    return F.xxhash64(F.size("tokens"), masked(F.slice("tokens", 1, DEPTH)))
+
+
+def _lines(texts: DataFrame, *kept: str) -> DataFrame:
+    """The distinct lines of each text that are long enough, with their tokens."""
+    # an outer explode of lines, of which each text has one: the inner one would have Spark
+    # split every text once more to see whether it has any
+    each = texts.select(*kept, F.explode_outer("lines").alias("line"))
+    return each.withColumn("tokens", tokens(F.col("line"))).where(F.size("tokens") >= DEPTH)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """key_a, key_b, line: masked lines of texts whose template recurs. Equal texts count once."""
-    split = F.array_distinct(F.split(masked(F.col("text")), "\n"))
-    keyed = docs.select(*text_key(F.col("text")), "text")
-    slim = (
-        keyed.select(*KEY, F.explode(split).alias("line"))
-        .withColumn("tokens", tokens(F.col("line")))
-        .where(F.size("tokens") >= DEPTH)
-        .select(*KEY, _leaf().alias("leaf"))
-        .distinct()
-    )
+    """key_a, key_b, line: lines of texts whose template recurs. Equal texts count once."""
+    keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    split = F.array_distinct(F.split("text", "\n")).alias("lines")
+    slim = _lines(keyed.select(*KEY, split), *KEY).select(*KEY, _leaf().alias("leaf")).distinct()
     often = slim.groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
-    # the texts that have lines in such leaves, with these leaves
+    # the texts that have lines in such leaves, with these leaves; they grow with the documents
     wanted = slim.join(often.select("leaf"), "leaf").groupBy(*KEY).agg(F.collect_list("leaf").alias("leaves"))
     found = (
-        keyed.join(materialise(wanted).hint("merge"), KEY)  # grows with the documents
-        .select(*KEY, "leaves", split.alias("lines"))
+        keyed.join(materialise(wanted).hint("merge"), KEY)
+        .select(*KEY, "leaves", split)
         .withColumn("digests", F.slice(F.array_sort(F.transform("lines", F.md5)), 1, 2))
-        .select(*KEY, "leaves", "digests", F.explode("lines").alias("line"))
-        .withColumn("tokens", tokens(F.col("line")))
+    )
+    found = (
+        _lines(found, *KEY, "leaves", "digests")
         .withColumn("leaf", _leaf())
-        .where((F.size("tokens") >= DEPTH) & F.array_contains("leaves", F.col("leaf")))
+        .where(F.array_contains("leaves", F.col("leaf")))
     )
+    # the least digest of the text's other lines: copies of a document agree in it
     least = F.get("digests", F.lit(0))
     rest = F.when(least == F.md5("line"), F.get("digests", F.lit(1))).otherwise(least)
     # copies of a text bring the same lines
     candidates = materialise(
-        found.select(*KEY, "leaf", "line", rest.alias("rest")).distinct()
+        found.select(*KEY, "leaf", "line", masked(F.col("tokens")).alias("shown"), rest.alias("rest")).distinct()
     )
     return _of_recurring_templates(candidates, min_docs)
 
 
 def _of_recurring_templates(candidates: DataFrame, min_docs: int) -> DataFrame:
     """The candidate lines whose template recurs."""
-    kinds = candidates.groupBy("leaf", "line").agg(F.count("*").alias("texts"))
-    placed = kinds.select("leaf", "line", "texts", F.posexplode(tokens(F.col("line"))).alias("place", "token"))
+    kinds = candidates.groupBy("leaf", "shown").agg(F.count("*").alias("lines"))
+    placed = kinds.select("leaf", "shown", "lines", F.posexplode("shown").alias("place", "token"))
     constants = (
         placed.groupBy("leaf", "place", "token")
-        .agg(F.sum("texts").alias("texts"))
-        .where((F.col("texts") >= min_docs) & (F.col("token") != VARIABLE))
+        .agg(F.sum("lines").alias("lines"))
+        .where((F.col("lines") >= min_docs) & (F.col("token") != VARIABLE))
         .select("leaf", "place", "token", F.lit(True).alias("constant"))
     )
-    shown = F.when(F.col("constant"), F.col("token")).otherwise(VARIABLE)
+    field = F.when(F.col("constant"), F.col("token")).otherwise(VARIABLE)
+    in_order = F.array_sort(F.collect_list(F.struct("place", field.alias("field"))))
     templates = (
         placed.join(constants, ["leaf", "place", "token"], "left")
-        .groupBy("leaf", "line")
+        .groupBy("leaf", "shown")
         .agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", shown.alias("shown")))), lambda t: t["shown"]), " ").alias("template"),
+            F.array_join(F.transform(in_order, lambda t: t["field"]), " ").alias("template"),
             F.count("constant").alias("constants"),
             F.count("*").alias("length"),
         )
         .where(2 * F.col("constants") >= F.col("length"))
-        .select("leaf", "line", "template")
+        .select("leaf", "shown", "template")
     )
-    lines = materialise(candidates.join(templates, ["leaf", "line"]).select(*KEY, "line", "template", "rest"))
+    lines = materialise(candidates.join(templates, ["leaf", "shown"]).select(*KEY, "line", "template", "rest"))
     apart = lines.groupBy("template", "rest").agg(F.count("*").alias("n"))  # first by both: no group grows with its texts
     texts = lines.groupBy("template", *KEY).agg(F.count("*").alias("n")).groupBy("template").agg(F.count("*").alias("texts"))
     recurring = (
@@ -109,15 +114,15 @@ def _of_recurring_templates(candidates: DataFrame, min_docs: int) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row, n_lines, n_dropped): `row` has all columns of `docs`, its text without recurring lines.
 
-    Lines end at \\n and are dropped wherever they stand in a text; a text may become empty,
+    Lines end at \n and are dropped wherever they stand in a text; a text may become empty,
     a null text stays null and has no lines. Copies of a text are one text, so that copies
     alone make nothing recur, and lose the same lines. Repeated rows stay repeated.
     """
     dropped = materialise(recurring_lines(docs, min_docs).groupBy(*KEY).agg(F.collect_list("line").alias("dropped")))
     rows = docs.select(F.struct("*").alias("row"), *text_key(F.col("text"))).join(dropped.hint("merge"), KEY, "left")
-    lines, marked = F.split("row.text", "\n"), F.split(masked(F.col("row.text")), "\n")
+    lines = F.split("row.text", "\n")
     changed = F.col("dropped").isNotNull()
-    kept = F.when(changed, F.filter(lines, lambda _, i: ~F.array_contains("dropped", F.get(marked, i))))
+    kept = F.when(changed, F.filter(lines, lambda line: ~F.array_contains("dropped", line)))
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     return (
         rows.withColumn("kept", kept)

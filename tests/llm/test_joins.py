@@ -203,10 +203,9 @@ def test_colliding_hashes_are_found(monkeypatch):
 
 
 def templates_by_hand(rows, min_docs):
-    field = re.compile(r"[^\x20\x09-\x0D0-9@]*(?:[0-9@]|://)[^\x20\x09-\x0D]*")
-    texts = {t for _, t in rows if t is not None} | ({""} if any(t is None for _, t in rows) else set())
-    split = {t: list(dict.fromkeys(field.sub("<*>", t).split("\n"))) for t in texts}
-    words = lambda line: re.findall(r"[^\x20\x09\x0B-\x0D]+", line)
+    field = re.compile(r"[0-9@]|://")
+    split = {t: list(dict.fromkeys(t.split("\n"))) for t in {t or "" for _, t in rows}}
+    words = lambda line: ["<*>" if field.search(w) else w for w in re.findall(r"[^\x20\x09\x0B-\x0D]+", line)]
     leaf = lambda line: (len(words(line)), *words(line)[: templates.DEPTH])
     held = [(t, line) for t, lines in split.items() for line in lines if len(words(line)) >= templates.DEPTH]
     count = {}
@@ -233,7 +232,7 @@ def templates_by_hand(rows, min_docs):
     out = []
     for doc_id, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x, y in zip(lines, field.sub("<*>", t or "").split("\n")) if ((t or ""), y) not in gone]
+        kept = [x for x in lines if ((t or ""), x) not in gone]
         out.append((doc_id, None if t is None else "\n".join(kept), 0 if t is None else len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
