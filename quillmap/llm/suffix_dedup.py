@@ -109,14 +109,18 @@ class Contexts:
         self.prefix = np.zeros((len(self.bytes), self.bytes.shape[1] + 1), np.uint64)
         np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * weight, axis=1, out=self.prefix[:, 1:])
 
-    def extension(self, one: np.ndarray, other: np.ndarray, column: int) -> np.ndarray:
-        """Common bytes of suffixes from `column`: binary search over their prefix hashes."""
+    def extension(self, one: np.ndarray, other: np.ndarray, column: int, back: bool = False) -> np.ndarray:
+        """Common bytes of two rows from `column` on, or before it: binary search over prefix hashes."""
         low = np.zeros(len(one), np.int64)
-        high = np.minimum(self.after[one], self.after[other]) + self.left - column
+        if back:
+            high = np.minimum(self.before[one], self.before[other]) + column - self.left
+        else:
+            high = np.minimum(self.after[one], self.after[other]) + self.left - column
         from_one, from_other = self.prefix[one, column], self.prefix[other, column]
         while (low < high).any():
             middle = (low + high + 1) >> 1
-            same = self.prefix[one, column + middle] - from_one == self.prefix[other, column + middle] - from_other
+            at = column - middle if back else column + middle
+            same = self.prefix[one, at] - from_one == self.prefix[other, at] - from_other
             low = np.where(same, middle, low)
             high = np.where(same, high, middle - 1)
         return low
@@ -125,13 +129,12 @@ class Contexts:
         """Whether a suffix comes before another; one that begins the other comes first."""
         common = self.extension(one, other, column)
         end_one, end_other = (self.after[x] + self.left - column for x in (one, other))
-        last = self.bytes.shape[1] - 1
-        at = np.minimum(column + common, last)
+        at = np.minimum(column + common, self.bytes.shape[1] - 1)
         differ = (common < end_one) & (common < end_other)
         return np.where(differ, self.bytes[one, at] < self.bytes[other, at], end_one < end_other)
 
     def sort(self, rows: np.ndarray, column: int) -> np.ndarray:
-        """`rows`, which come by group, with each group's suffixes in order: merges of runs."""
+        """`rows`, which come by group, with each group's suffixes from `column` in order: merges of runs."""
         order = rows.copy()
         group = self.group[rows]
         first = np.searchsorted(group, group, side="left")
@@ -147,7 +150,9 @@ class Contexts:
             while (open_ := np.flatnonzero(low < high)).size:
                 middle = (low[open_] + high[open_]) >> 1
                 own, met = order[open_], order[middle]
-                below = np.where(right[open_], ~self.less(own, met, column), self.less(met, own, column))
+                from_right = right[open_]
+                one, other = np.where(from_right, own, met), np.where(from_right, met, own)
+                below = self.less(one, other, column) ^ from_right
                 low[open_] = np.where(below, middle + 1, low[open_])
                 high[open_] = np.where(below, high[open_], middle)
             target = first + (mine >> 1) * 2 * width + inside % width + (low - begin)
@@ -157,65 +162,60 @@ class Contexts:
             width *= 2
         return order
 
-    def reach(self, rows: np.ndarray, column: int) -> np.ndarray:
-        """How far right of the anchor each row agrees from `column` on with another of its group."""
-        order = self.sort(rows, column)
-        one, other = order[:-1], order[1:]
-        common = self.extension(one, other, column)
-        agree = self.bytes[one, column:] == self.bytes[other, column:]
-        limit = np.minimum(self.after[one], self.after[other]) + self.left - column
-        agree[np.arange(agree.shape[1]) >= limit[:, None]] = False
-        exact = np.where(agree.all(axis=1), agree.shape[1], agree.argmin(axis=1))
-        if (exact != common).any():  # two stretches with one hash: sort again by another one
-            self.hashed(self.attempt + 1)
-            return self.reach(rows, column)
-        common = np.where(self.group[one] == self.group[other], common, -1)
-        best = np.full(len(self.group), -1, np.int64)
-        np.maximum.at(best, one, common)
-        np.maximum.at(best, other, common)
-        return np.where(best[rows] < 0, -1, best[rows] + column)
+    def verified(self, one: np.ndarray, other: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> bool:
+        """Whether the bytes around the anchor agree as far as the hashes said."""
+        place = np.arange(self.bytes.shape[1])
+        inside = (place >= (self.left - behind)[:, None]) & (place < (self.left + ahead)[:, None])
+        return not ((self.bytes[one] != self.bytes[other]) & inside).any()
 
     def repeated(self) -> np.ndarray:
         """For each row and start from the leftmost one to the anchor: whether its string repeats.
 
-        The reach grows with the start. Where it is the same at both ends of a stretch of
-        starts it is known in between; other stretches are halved.
+        A group's suffixes are sorted once, from the anchor on. Those that also agree from
+        some start to the anchor keep their order among themselves, and a row's neighbour
+        there agrees with it further than any other that holds this start. So do all
+        starts back to where the two begin to agree. Rows that share a start with no other
+        share none further left, and leave.
         """
-        count, starts = len(self.group), self.left + 1
-        reach = np.full((starts, count), -1, np.int64)
-        repeated = np.zeros((count, starts), bool)
-
-        def measure(column: int, wanted: np.ndarray) -> None:
-            groups = np.zeros(self.group.max() + 1, bool)
-            groups[self.group[wanted]] = True
-            rows = np.flatnonzero(groups[self.group] & (self.left - self.before <= column))
-            if len(rows):
-                reach[column, rows] = self.reach(rows, column)
-            hit = reach[column] >= column + self.length
-            repeated[hit, column] = True
-
-        if not count:
-            return repeated
-        everyone = np.arange(count)
-        measure(0, everyone)
-        measure(starts - 1, everyone)
-        stack = [(0, starts - 1, everyone)]
-        while stack:
-            a, b, rows = stack.pop()
-            if b - a < 2 or not len(rows):
-                continue
-            low, high = reach[a, rows], reach[b, rows]
-            none = high < a + 1 + self.length
-            same = (low == high) | (low >= b - 1 + self.length)
-            for row in rows[same & ~none]:
-                # of the starts between, those whose string ends within the reach
-                repeated[row, a + 1 : max(a + 1, min(b, reach[a, row] - self.length + 1))] = True
-            rows = rows[~none & ~same]
-            if len(rows):
-                middle = (a + b) // 2
-                measure(middle, rows)
-                stack += [(a, middle, rows), (middle, b, rows)]
-        return repeated
+        rows = self.sort(np.arange(len(self.group)), self.left)
+        repeated = np.zeros((len(rows), self.left + 1), bool)
+        lowest = self.left - self.before
+        # the last start of a row about which nothing is known
+        unknown = np.minimum(self.left, self.left + self.after - self.length)
+        while True:
+            column = np.full(self.group.max(initial=0) + 1, -1, np.int64)
+            np.maximum.at(column, self.group[rows], np.where(unknown[rows] >= lowest[rows], unknown[rows], -1))
+            column = column[self.group[rows]]
+            stay = column >= np.maximum(lowest[rows], 0)
+            rows, column = rows[stay], column[stay]
+            if not len(rows):
+                return repeated
+            shared = self.prefix[rows, self.left] - self.prefix[rows, column]
+            by = np.lexsort((np.arange(len(rows)), shared, self.group[rows]))
+            rows, column, shared = rows[by], column[by], shared[by]
+            next_ = np.flatnonzero((self.group[rows[1:]] == self.group[rows[:-1]]) & (shared[1:] == shared[:-1]))
+            one, other = rows[next_], rows[next_ + 1]
+            ahead = self.extension(one, other, self.left)
+            behind = self.extension(one, other, self.left, back=True)
+            if not self.verified(one, other, ahead, behind):
+                self.hashed(self.attempt + 1)  # two stretches with one hash: start again with another base
+                return self.repeated()
+            width = self.bytes.shape[1] + 1
+            best = np.full(len(self.group), -1, np.int64)
+            np.maximum.at(best, one, ahead * width + behind)
+            np.maximum.at(best, other, ahead * width + behind)
+            met = best[rows] >= 0
+            rows, column = rows[met], column[met]
+            now = (unknown[rows] == column) & (unknown[rows] >= lowest[rows])
+            ahead, behind = np.divmod(best[rows[now]], width)
+            last = np.minimum(column[now], self.left + ahead - self.length)
+            since = self.left - behind
+            for row, a, b in zip(rows[now].tolist(), since.tolist(), last.tolist()):
+                if a <= b:
+                    repeated[row, a : b + 1] = True
+            unknown[rows[now]] = np.minimum(since - 1, self.left + ahead - self.length)
+            # `rows` are in order of their suffixes again for the next start
+            rows = rows[np.lexsort((by[met], self.group[rows]))]
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
