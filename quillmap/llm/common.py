@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but these bytes; `bytes.split()` splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of texts in an Arrow batch: its buffers exist twice on either side of the pipe.
+ROWS_AT_ONCE = 1_000
 #: Bytes of text that a task works on at once; longer texts come alone.
 TEXT_AT_ONCE = 4_000_000
 
@@ -41,6 +43,12 @@ def portions(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
             yield batch.slice(start)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have the session pass rows to Python in batches that fit texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    return df
+
+
 def map_portions(
     df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, text: str = "text"
 ) -> DataFrame:
@@ -51,4 +59,4 @@ def map_portions(
         for portion in portions(batches, text):
             yield each(portion)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmap.llm.common import text_key
+from quillmap.llm.common import small_batches, text_key
 
 #: A fingerprint keeps more than half of SAMPLES steps and SAMPLES at most.
 SAMPLES = 128
@@ -211,7 +211,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             yield finish(held)
 
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, k) for n, k in _COLUMNS)])
-    return with_following(docs).mapInArrow(run, schema)
+    return small_batches(with_following(docs)).mapInArrow(run, schema)
 
 
 def edit_distance_within(a: str, b: str, limit: int) -> int | None:

@@ -29,7 +29,7 @@ GRAM = 128
 #: hashes of all their strings, which Spark groups.
 CONTEXTS = 4_096
 #: Contexts that a task sorts at once.
-AT_ONCE = 8_192
+AT_ONCE = 4_096
 
 _BASES = [np.uint64(x | 1) for x in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)]
 
