@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmap.llm.common import KEY, map_portions, text_key
+from quillmap.llm.common import KEY, map_portions, small_batches, text_key
 from quillmap.llm.components import components
 from quillmap.session import materialise
 
 WIDTH = 3
 PERCENT = 90
+#: Limits below this take two parts of a range as a key.
+PAIRED = 85
 #: Growth of the size bands; above 100 / PERCENT, so that a pair spans two bands at most.
 BAND_GROWTH = 1.5
 #: Coordinates of a point, children of a box.
@@ -80,29 +82,56 @@ def range_keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     (100 - p) / (100 + p) * (|a| + |b|) elements. Of more ranges than that one agrees.
     It may be empty in both only if either fills no more ranges than may differ; such
     sets emit their empty ranges too.
+
+    Below PAIRED percent that would leave few elements to a range. There, sets have one
+    range for every two that may differ, so that one range differs in one element at most;
+    of its three parts two agree, and each two parts make a key.
     """
     size = len(elements)
     number, _, high = _band(size)
     schemes = [(number, high)]
     if 100 * size >= percent * high:  # may link to a set of the next band
         schemes.append((number + 1, max(high + 1, int(high * BAND_GROWTH))))
+    keys = _paired_keys if percent < PAIRED else _single_keys
     out = []
     for number, top in schemes:
         differ = 2 * (top - 1) * (100 - percent) // (100 + percent)
-        if not differ:
-            continue  # only equal sets pass
-        ranges = differ + differ // 10 + 2
-        place = ((elements >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        filled, start = np.unique(place, return_index=True)
-        content = np.add.reduceat(_mixed(elements + _ODD[2]), start)
-        if len(filled) <= differ:
-            whole = np.zeros(ranges, np.uint64)
-            whole[filled.astype(np.int64)] = content
-            filled, content = np.arange(ranges, dtype=np.uint64), whole
-        out.append(_mixed(content + filled * _ODD[3] + np.uint64(number)))
+        if differ:  # else only equal sets pass
+            out.append(_mixed(keys(elements, differ) + np.uint64(number)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _contents(elements: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of what each range of the hashes holds, and whether it holds anything."""
+    place = (((elements >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    filled, start = np.unique(place, return_index=True)
+    content, full = np.zeros(ranges, np.uint64), np.zeros(ranges, bool)
+    content[filled], full[filled] = np.add.reduceat(_mixed(elements + _ODD[2]), start), True
+    return content, full
+
+
+def _single_keys(elements: np.ndarray, differ: int) -> np.ndarray:
+    ranges = differ + differ // 10 + 2
+    content, full = _contents(elements, ranges)
+    keys = content + np.arange(ranges, dtype=np.uint64) * _ODD[3]
+    return keys if full.sum() <= differ else keys[full]
+
+
+def _paired_keys(elements: np.ndarray, differ: int) -> np.ndarray:
+    """Ranges that differ twice or more are differ // 2 at most. A set with more ranges of
+    two or three filled parts needs no empty keys: of those one differs once at most."""
+    ranges = differ // 2 + differ // 20 + 2
+    content, full = _contents(elements, 3 * ranges)
+    content, full = content.reshape(ranges, 3), full.reshape(ranges, 3)
+    place = np.arange(ranges, dtype=np.uint64) * _ODD[3]
+    safe = (full.sum(axis=1) >= 2).sum() > differ // 2
+    out = []
+    for name, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        keys = _mixed(content[:, i] + place) + content[:, j] * _ODD[4] + np.uint64(name)
+        out.append(keys[full[:, i] | full[:, j]] if safe else keys)
+    return np.concatenate(out)
+
+
 class CountTree:
     """An R-tree, packed from leaves of points that are near each other in size and counts."""
 
@@ -202,7 +231,7 @@ def _links(rows: DataFrame, percent: int, width: int) -> DataFrame:
 
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        rows.select("cluster", "block", "class", "label", "text")
+        small_batches(rows).select("cluster", "block", "class", "label", "text")
         .repartition(partitions, "cluster", "block")
         .sortWithinPartitions("cluster", "block")
         .mapInArrow(run, "one binary, other binary")
@@ -262,11 +291,80 @@ def candidate_links(docs: DataFrame, percent: int, width: int) -> DataFrame:
         return each
 
     keys = map_portions(docs.select("text"), work, "key long, class binary")
+    if percent < PAIRED:
+        return _bounded_links(keys, docs, percent, width)
     # the least class of each key; a key's rows are sorted and spilled, never held
     hub = F.first("class").over(Window.partitionBy("key").orderBy("class"))
     return keys.select(F.col("class").alias("one"), hub.alias("other")).where("one <> other").distinct()
 
 
+def _bounded_links(keys: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(one, other): classes that share a key and whose points may pass, enough to connect all such.
+
+    With few elements to a key, a passage that many documents share would chain them all.
+    Here each key has an R-tree of its own, of the points of its classes.
+    """
+
+    def work():
+        seen: set[bytes] = set()
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for text in batch["text"].to_pylist():
+                elements = shingles(text, width)
+                if len(elements) and (name := class_of(elements)) not in seen:
+                    seen.add(name)
+                    rows.append((name, len(elements), counts_by_group(elements).astype("<u4").tobytes()))
+            columns = list(zip(*rows)) or [[], [], []]
+            kinds = (pa.binary(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["class", "size", "point"])
+
+        return each
+
+    points = map_portions(docs.select("text"), work, "class binary, size long, point binary")
+    points = points.groupBy("class").agg(F.first("size").alias("size"), F.first("point").alias("point"))
+    of_key = Window.partitionBy("key").orderBy("class")
+    met = keys.select("key", "class", F.first("class").over(of_key).alias("least"), F.lead("class").over(of_key).alias("next"))
+    shared = materialise(met.where("class <> least OR class <> next").select("key", "class").distinct())
+    rows = shared.join(points, "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish(held: list[tuple]) -> list[tuple[bytes, bytes]]:
+            if len(held) > BLOCK_CLASSES:  # connected as a whole: more candidates, none less
+                return [(h[1], held[0][1]) for h in held[1:]]
+            points = np.stack([np.frombuffer(h[3], "<u4").astype(np.int64) for h in held])
+            sizes = np.array([h[2] for h in held], np.int64)
+            tree, part, links = CountTree(points, sizes), np.arange(len(held)), []
+            for i in range(len(held)):
+                near = tree.search(points[i], sizes[i], percent)
+                near = near[part[near] != part[i]]
+                while len(near):
+                    links.append((held[i][1], held[near[0]][1]))
+                    part[part == part[near[0]]] = part[i]
+                    near = near[part[near] != part[i]]
+            return links
+
+        held: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch[c].to_pylist() for c in ("key", "class", "size", "point"))):
+                if held and row[0] != held[0][0]:
+                    out += finish(held) if len(held) > 1 else []
+                    held = []
+                held.append(row)
+            yield _link_batch(out)
+        yield _link_batch(finish(held) if len(held) > 1 else [])
+
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select("key", "class", "size", "point").repartition(partitions, "key").sortWithinPartitions("key")
+    return ordered.mapInArrow(run, "one binary, other binary").distinct()
+
+
+def _link_batch(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*links)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["one", "other"])
+
+
 def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
