@@ -70,15 +70,17 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     rest = F.when(least == F.md5("line"), F.get("digests", F.lit(1))).otherwise(least)
     # copies of a text bring the same lines
     candidates = materialise(
-        found.select(*KEY, "leaf", "line", masked(F.col("tokens")).alias("shown"), rest.alias("rest")).distinct()
+        found.select(*KEY, "leaf", "line", rest.alias("rest")).distinct()
     )
     return _of_recurring_templates(candidates, min_docs)
 
 
 def _of_recurring_templates(candidates: DataFrame, min_docs: int) -> DataFrame:
     """The candidate lines whose template recurs."""
-    kinds = candidates.groupBy("leaf", "shown").agg(F.count("*").alias("lines"))
-    placed = kinds.select("leaf", "shown", "lines", F.posexplode("shown").alias("place", "token"))
+    shown = F.array_join(masked(tokens(F.col("line"))), " ")
+    candidates = candidates.withColumn("shown", F.xxhash64(shown))
+    kinds = candidates.withColumn("words", shown).groupBy("leaf", "shown", "words").agg(F.count("*").alias("lines"))
+    placed = kinds.select("leaf", "shown", "lines", F.posexplode(F.split("words", " ")).alias("place", "token"))
     constants = (
         placed.groupBy("leaf", "place", "token")
         .agg(F.sum("lines").alias("lines"))
@@ -96,7 +98,7 @@ def _of_recurring_templates(candidates: DataFrame, min_docs: int) -> DataFrame:
             F.count("*").alias("length"),
         )
         .where(2 * F.col("constants") >= F.col("length"))
-        .select("leaf", "shown", "template")
+        .select("leaf", "shown", F.xxhash64("template").alias("template"))
     )
     lines = materialise(candidates.join(templates, ["leaf", "shown"]).select(*KEY, "line", "template", "rest"))
     apart = lines.groupBy("template", "rest").agg(F.count("*").alias("n"))  # first by both: no group grows with its texts
@@ -114,7 +116,7 @@ def _of_recurring_templates(candidates: DataFrame, min_docs: int) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(row, n_lines, n_dropped): `row` has all columns of `docs`, its text without recurring lines.
 
-    Lines end at \n and are dropped wherever they stand in a text; a text may become empty,
+    Lines end at a line feed and are dropped wherever they stand in a text; a text may become empty,
     a null text stays null and has no lines. Copies of a text are one text, so that copies
     alone make nothing recur, and lose the same lines. Repeated rows stay repeated.
     """
