@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmap.llm.common import map_portions
+from quillmap.session import materialise
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -148,19 +149,23 @@ def _fold(docs: DataFrame):
 def train_language_model(docs: DataFrame, held_out: int = 2, rows: int = TRAIN_ROWS) -> ByteCnn | None:
     """Learn from `rows` labelled documents of each language, outside the held-out fold.
 
-    The rows are those of lowest hash of id and text, so that reruns agree and each
-    task passes on `rows` of a language at most. None when there is no labelled text.
+    The rows are those of lowest hash of their id, so that reruns agree; a threshold on the
+    hash leaves about 3 * rows of a language to choose from. None without labelled text.
     """
-    name = F.xxhash64("doc_id", "text")
-    order = Window.partitionBy("lang").orderBy(name, "doc_id", "text")
-    size = F.char_length("text")
-    begin = (F.pmod(name, F.greatest(size - TRAIN_BYTES, F.lit(1))) + 1).cast("int")
+    name = F.xxhash64("doc_id", "lang")
+    order = Window.partitionBy("lang").orderBy("name", "doc_id", "text")
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (_fold(docs) != held_out))
+    counts = materialise(labelled.groupBy("lang").agg(F.count("*").alias("labelled")))
+    begin = (F.pmod(name, F.greatest(F.char_length("text") - TRAIN_BYTES, F.lit(1))) + 1).cast("int")
+    # a share of a language's rows that holds some three times as many as are taken
+    share = F.pmod(name, F.lit(1 << 30)) * F.col("labelled") < F.lit(3 * rows * (1 << 30))
     chosen = (
-        docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (_fold(docs) != held_out))
-        .select("doc_id", "lang", "text")
+        labelled.select("doc_id", "lang", "text")
+        .join(counts, "lang")
+        .where(share)
+        .select("lang", "doc_id", name.alias("name"), F.substr(F.col("text"), begin, F.lit(TRAIN_BYTES)).alias("text"))
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= rows)
-        .select("lang", "place", F.substr(F.col("text"), begin, F.lit(TRAIN_BYTES)).alias("text"))
     )
     sample = sorted((r["lang"], r["place"], r["text"]) for r in chosen.collect())
     if not sample:
