@@ -302,7 +302,8 @@ def _bounded_links(keys: DataFrame, docs: DataFrame, percent: int, width: int) -
     """(one, other): classes that share a key and whose points may pass, enough to connect all such.
 
     With few elements to a key, a passage that many documents share would chain them all.
-    Here each key has an R-tree of its own, of the points of its classes.
+    Here each key has an R-tree of its own, of the points of its classes. Keys of more than
+    BLOCK_CLASSES classes are connected as a whole, without points: more candidates, none less.
     """
 
     def work():
@@ -323,23 +324,21 @@ def _bounded_links(keys: DataFrame, docs: DataFrame, percent: int, width: int) -
 
     points = map_portions(docs.select("text"), work, "class binary, size long, point binary")
     points = points.groupBy("class").agg(F.first("size").alias("size"), F.first("point").alias("point"))
-    of_key = Window.partitionBy("key").orderBy("class")
-    met = keys.select("key", "class", F.first("class").over(of_key).alias("least"), F.lead("class").over(of_key).alias("next"))
-    shared = materialise(met.where("class <> least OR class <> next").select("key", "class").distinct())
-    rows = shared.join(points, "class")
+    shared = materialise(_shared_keys(keys))
+    large = shared.where("n > limit AND class <> least").select(F.col("class").alias("one"), F.col("least").alias("other"))
+    # near copies share many keys: one of those that hold the same classes stands for all
+    rows = shared.where("n <= limit").select("set_a", "set_b", "class").distinct().join(points, "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(held: list[tuple]) -> list[tuple[bytes, bytes]]:
-            if len(held) > BLOCK_CLASSES:  # connected as a whole: more candidates, none less
-                return [(h[1], held[0][1]) for h in held[1:]]
-            points = np.stack([np.frombuffer(h[3], "<u4").astype(np.int64) for h in held])
-            sizes = np.array([h[2] for h in held], np.int64)
+            points = np.stack([np.frombuffer(h[4], "<u4").astype(np.int64) for h in held])
+            sizes = np.array([h[3] for h in held], np.int64)
             tree, part, links = CountTree(points, sizes), np.arange(len(held)), []
             for i in range(len(held)):
                 near = tree.search(points[i], sizes[i], percent)
                 near = near[part[near] != part[i]]
                 while len(near):
-                    links.append((held[i][1], held[near[0]][1]))
+                    links.append((held[i][2], held[near[0]][2]))
                     part[part == part[near[0]]] = part[i]
                     near = near[part[near] != part[i]]
             return links
@@ -347,8 +346,8 @@ def _bounded_links(keys: DataFrame, docs: DataFrame, percent: int, width: int) -
         held: list[tuple] = []
         for batch in batches:
             out = []
-            for row in zip(*(batch[c].to_pylist() for c in ("key", "class", "size", "point"))):
-                if held and row[0] != held[0][0]:
+            for row in zip(*(batch[c].to_pylist() for c in ("set_a", "set_b", "class", "size", "point"))):
+                if held and row[:2] != held[0][:2]:
                     out += finish(held) if len(held) > 1 else []
                     held = []
                 held.append(row)
@@ -356,8 +355,31 @@ def _bounded_links(keys: DataFrame, docs: DataFrame, percent: int, width: int) -
         yield _link_batch(finish(held) if len(held) > 1 else [])
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("key", "class", "size", "point").repartition(partitions, "key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "one binary, other binary").distinct()
+    ordered = (
+        small_batches(rows).select("set_a", "set_b", "class", "size", "point")
+        .repartition(partitions, "set_a", "set_b")
+        .sortWithinPartitions("set_a", "set_b")
+    )
+    return ordered.mapInArrow(run, "one binary, other binary").unionByName(large).distinct()
+
+
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """(class, n, least, limit, set_a, set_b): the classes of each key that several have.
+
+    `n` counts a key's classes, `least` is the first of them, (set_a, set_b) stands for all
+    of them. A key's rows are spilled, never held.
+    """
+    of_key = Window.partitionBy("key")
+    met = keys.repartition("key").distinct().select(
+        "class",
+        F.count("*").over(of_key).alias("n"),
+        F.min("class").over(of_key).alias("least"),
+        F.lit(BLOCK_CLASSES).alias("limit"),
+        F.bit_xor(F.xxhash64("class")).over(of_key).alias("set_a"),
+        F.bit_xor(F.xxhash64(F.lit(1), "class")).over(of_key).alias("set_b"),
+    )
+    # a pair of classes or a whole set is met under many keys
+    return met.where("n > 1").distinct()
 
 
 def _link_batch(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:

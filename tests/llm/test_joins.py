@@ -93,6 +93,21 @@ def test_ngram_join(make_docs, percent, width, block, monkeypatch):
     assert got == join_by_hand([tuple(r) for r in rows], percent, width)
 
 
+def test_large_keys_need_no_points(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 5)
+    names = [bytes([i]) * 16 for i in range(9)]  # of no text: classes without a point
+    rows = [(1, n) for n in names] + [(1, names[0]), (2, names[0]), (2, names[1])]
+    keys = spark.createDataFrame(rows, "key long, class binary").repartition(3)
+    links = ngram_join._bounded_links(keys, make_docs(["a b c"]), 80, 5).collect()
+    assert sorted((bytes(r.one), bytes(r.other)) for r in links) == [(n, names[0]) for n in names[1:]]
+
+
+def test_keys_of_equal_classes_are_one(spark):
+    rows = [(k, bytes([i]) * 16) for k in range(40) for i in range(3)] + [(99, b"x" * 16)]
+    found = ngram_join._shared_keys(spark.createDataFrame(rows, "key long, class binary")).collect()
+    assert len(found) == 3 and {r.n for r in found} == {3} and len({(r.set_a, r.set_b) for r in found}) == 1
+
+
 def test_ngram_join_awkward(awkward, empty):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in ngram_join.join_components(awkward).collect()), key=str)
