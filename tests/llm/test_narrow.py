@@ -84,6 +84,26 @@ def test_bands_reject_noise_and_repeats():
     assert not verdict(cycle) and not quality.measure(cycle, compressor)[5]  # passes the base rules, compresses too well
 
 
+def other_script(text, first):
+    return "".join(chr(first + ord(c) - 65) if c.isascii() and c.isalpha() else c for c in text)
+
+
+def ideographs(text):
+    at = {w: i * 7_919 % 300_000 for i, w in enumerate(dict.fromkeys(text.split()))}
+    return " ".join(chr(0x4E00 + at[w] // 600) + chr(0x4E00 + at[w] % 600 + 500) for w in text.split())
+
+
+@pytest.mark.parametrize("write", [str, lambda t: other_script(t, 0x410), lambda t: other_script(t, 0x10A0), ideographs])
+def test_bands_hold_for_any_script(spark, write):
+    compressor = zstandard.ZstdCompressor(level=3)
+    verdict = lambda t: quality.measure(t, compressor)[6]
+    clean = [r.text for r in read_docs(spark).collect() if r.text and len(r.text) > 1_500 and verdict(r.text)]
+    assert len(clean) > 20 and all(verdict(write(t)) for t in clean)
+    thrice = [write(" ".join(t.split()[:200] * 3)) for t in clean]
+    for ratio, _ in (quality.ratios(t, compressor) for t in thrice):
+        assert not quality.band_verdict(ratio, 2_048, quality.BANDS)
+
+
 # byte-level BPE
 
 
