@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines whose template recurs; their lengths follow."""
-    return templates.drop_recurring_lines(docs).select("row.*").transform(with_length)
+    """Documents without lines whose template recurs, short ones too; their lengths follow."""
+    return templates.drop_recurring_lines(docs, shortest=1).select("row.*").transform(with_length)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

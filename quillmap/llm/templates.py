@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmap.llm.common import KEY, text_key
 from quillmap.session import materialise
 
-#: Leading tokens on the way to a leaf; shorter lines are left alone.
+#: Leading tokens on the way to a leaf; a line that has fewer takes them all.
 DEPTH = 3
 #: Texts in which a leaf, a token at a place of it, and a template recur.
 MIN_DOCS = 10
@@ -39,19 +39,19 @@ def _leaf() -> Column:
     return F.xxhash64(F.size("tokens"), masked(F.slice("tokens", 1, DEPTH)))
 
 
-def _lines(texts: DataFrame, *kept: str) -> DataFrame:
-    """The distinct lines of each text that are long enough, with their tokens."""
+def _lines(texts: DataFrame, shortest: int, *kept: str) -> DataFrame:
+    """The distinct lines of each text that have `shortest` tokens or more, with their tokens."""
     # an outer explode of lines, of which each text has one: the inner one would have Spark
     # split every text once more to see whether it has any
     each = texts.select(*kept, F.explode_outer("lines").alias("line"))
-    return each.withColumn("tokens", tokens(F.col("line"))).where(F.size("tokens") >= DEPTH)
+    return each.withColumn("tokens", tokens(F.col("line"))).where(F.size("tokens") >= shortest)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = DEPTH) -> DataFrame:
     """key_a, key_b, line: lines of texts whose template recurs. Equal texts count once."""
     keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     split = F.array_distinct(F.split("text", "\n")).alias("lines")
-    slim = _lines(keyed.select(*KEY, split), *KEY).select(*KEY, _leaf().alias("leaf")).distinct()
+    slim = _lines(keyed.select(*KEY, split), shortest, *KEY).select(*KEY, _leaf().alias("leaf")).distinct()
     often = slim.groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
     # the texts that have lines in such leaves, with these leaves; they grow with the documents
     wanted = slim.join(often.select("leaf"), "leaf").groupBy(*KEY).agg(F.collect_list("leaf").alias("leaves"))
@@ -61,7 +61,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         .withColumn("digests", F.slice(F.array_sort(F.transform("lines", F.md5)), 1, 2))
     )
     found = (
-        _lines(found, *KEY, "leaves", "digests")
+        _lines(found, shortest, *KEY, "leaves", "digests")
         .withColumn("leaf", _leaf())
         .where(F.array_contains("leaves", F.col("leaf")))
     )
@@ -113,14 +113,15 @@ def _of_recurring_templates(candidates: DataFrame, min_docs: int) -> DataFrame:
     return lines.join(recurring, "template").select(*KEY, "line").distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = DEPTH) -> DataFrame:
     """(row, n_lines, n_dropped): `row` has all columns of `docs`, its text without recurring lines.
 
     Lines end at a line feed and are dropped wherever they stand in a text; a text may become empty,
     a null text stays null and has no lines. Copies of a text are one text, so that copies
-    alone make nothing recur, and lose the same lines. Repeated rows stay repeated.
+    alone make nothing recur, and lose the same lines. Repeated rows stay repeated. Lines of
+    fewer than `shortest` tokens stay; a line without a token always does.
     """
-    dropped = materialise(recurring_lines(docs, min_docs).groupBy(*KEY).agg(F.collect_list("line").alias("dropped")))
+    dropped = materialise(recurring_lines(docs, min_docs, max(shortest, 1)).groupBy(*KEY).agg(F.collect_list("line").alias("dropped")))
     rows = docs.select(F.struct("*").alias("row"), *text_key(F.col("text"))).join(dropped.hint("merge"), KEY, "left")
     lines = F.split("row.text", "\n")
     changed = F.col("dropped").isNotNull()

@@ -52,6 +52,13 @@ def test_pipeline(spark):
         assert r.decoded_sha256 == hashlib.sha256(expected[r.doc_id].encode()).hexdigest()
 
 
+def test_pipeline_drops_short_lines(spark, make_docs):
+    texts = [f"own{i} words{i}x of text{i} number {i}\nLes.\n版权所有不得转载\nnext{i} line{i}x of it" for i in range(30)]
+    docs = make_docs(texts).selectExpr("doc_id", "text", "lang", "source", "length(text) AS n_chars")
+    for r in corpus_pipeline.line_dedup(spark, docs, SF_DIR).collect():
+        assert "Les." not in r.text and "版权" not in r.text and f"own{r.doc_id} " in r.text
+
+
 def test_pipeline_awkward(spark, awkward, empty):
     for docs in (awkward, empty):
         step = docs
