@@ -1,6 +1,10 @@
 """Every registered query against its SQL."""
 
 import math
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,3 +50,24 @@ def test_query(spark, oracle, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:2] == ["question_id", "rank"] and df.count() > 0
+
+
+LEFT_OUT = """
+import __spark_entry__ as entry
+from quillmap.session import local_session
+
+assert not [n for n in entry.queries() if n.startswith("op") and n[2].isdigit() or n == "pipeline"], "llm is still there"
+spark = local_session(2, **{"spark.driver.memory": "2g"})
+print("rows", entry.queries()["latest_message"](spark, "/root/testdata/sf0.001").count())
+"""
+
+
+@pytest.mark.parametrize("gone", [("quillmap/llm", "tests/llm", "corpus_pipeline.py"), ("quillmap/llm", "tests/llm")])
+def test_entry_without_the_training_data_operators(tmp_path, gone):
+    here = Path(entry.__file__).parent
+    left_out = [here / name for name in gone]
+    copy = tmp_path / "repo"
+    shutil.copytree(here, copy, ignore=lambda at, names: [n for n in names if n == ".git" or Path(at, n) in left_out])
+    done = subprocess.run([sys.executable, "-c", LEFT_OUT], cwd=copy, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("rows")[1]) > 0
