@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm import bytebpe, fingerprint, language, mixing, ngram_join, quality, revisits, suffix_dedup, templates, wordpiece
+from quillmap.llm import bytebpe, conversations, fingerprint, language, mixing, ngram_join, quality, revisits, suffix_dedup, templates, wordpiece
 from quillmap.llm.common import documents
 from quillmap.plans.registry import Query
 
@@ -67,6 +67,11 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return conversations.repair_conversations(conversations.damage(turns), turns)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
     "op2_ngram_join": op2_ngram_join,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_source_mix": op9_source_mix,
     "op10_line_templates": op10_line_templates,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
