@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm import bytebpe, conversations, fingerprint, language, mixing, ngram_join, quality, revisits, suffix_dedup, templates, wordpiece
+from quillmap.llm import bytebpe, conversations, fingerprint, language, lexical, mixing, ngram_join, quality, revisits, suffix_dedup, templates, wordpiece
 from quillmap.llm.common import documents
 from quillmap.plans.registry import Query
 
@@ -72,6 +72,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_conversations(conversations.damage(turns), turns)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return lexical.search(documents(spark, sf_dir), items)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_bands": op1_quality_bands,
     "op2_ngram_join": op2_ngram_join,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op9_source_mix": op9_source_mix,
     "op10_line_templates": op10_line_templates,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -223,4 +229,31 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, coalesce(len(had), 0) AS n_lines, coalesce(len(had) - len(has), 0) AS n_dropped,
             sha256(coalesce(array_to_string(has, chr(10)), '')) AS kept_sha256
         FROM kept""",
+    "op13_lexical_search": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+            FROM documents WHERE text IS NOT NULL),
+        whole AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM words WHERE len(w) > 0),
+        item_terms AS (
+            SELECT DISTINCT item, item_id, term FROM (
+                SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM benchmark)),
+        wanted AS (SELECT DISTINCT term FROM item_terms),
+        counts AS (
+            SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM words) JOIN wanted USING (term) GROUP BY row, term),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight
+            FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), whole),
+        sizes AS (SELECT row, doc_id, 100 - 90 + (90 * len(w) * docs) // total AS m FROM words, whole WHERE len(w) > 0),
+        gains AS (
+            SELECT row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS gain
+            FROM counts JOIN weights USING (term) JOIN sizes USING (row)),
+        scores AS (
+            SELECT item, item_id, row, doc_id, CAST(sum(gain) AS BIGINT) AS score
+            FROM item_terms JOIN gains USING (term) GROUP BY item, item_id, row, doc_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
