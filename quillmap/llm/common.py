@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmap.operators.numbering import total_before
+from quillmap.session import materialise
+
 #: A word is a run of anything but these bytes; `bytes.split()` splits at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of texts in an Arrow batch: its buffers exist twice on either side of the pipe.
@@ -60,3 +63,17 @@ def map_portions(
             yield each(portion)
 
     return small_batches(df).mapInArrow(run, schema)
+
+
+def bounded_blocks(rows: DataFrame, bound: int) -> list[DataFrame]:
+    """`rows` (item, bytes, ...) cut by items into parts that hold at most `bound` bytes and one item.
+
+    Parts are small enough to be collected and sent to tasks.
+    """
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
+    if total <= bound:
+        return [rows]
+    sizes = total_before(rows.groupBy("item").agg(F.sum("bytes").alias("bytes")), ["item"], "bytes", "before")
+    placed = materialise(rows.join(sizes.select("item", F.floor(F.col("before") / bound).alias("block")), "item"))
+    used = sorted(r["block"] for r in placed.select("block").distinct().collect())
+    return [placed.where(F.col("block") == b) for b in used]

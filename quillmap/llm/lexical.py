@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmap.llm.common import portions, small_batches
+from quillmap.llm.common import bounded_blocks, portions, small_batches
 from quillmap.session import materialise
 
 BEST = 10
@@ -74,19 +74,6 @@ def item_terms(items: DataFrame) -> DataFrame:
     return small_batches(numbered).mapInArrow(run, schema)
 
 
-def _blocks(found: DataFrame, bound: int) -> list[DataFrame]:
-    """`found` cut by items into parts of at most `bound` bytes; an item alone may have more."""
-    sizes = found.groupBy("item").agg(F.sum(F.length("term") + 16).alias("bytes"))
-    total, largest = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
-    count = max(1, -(-total // bound))
-    while True:
-        block = F.pmod(F.xxhash64("item"), F.lit(count))
-        most = sizes.groupBy(block.alias("block")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-        if most.where(F.col("bytes") > max(bound, largest)).isEmpty():
-            return [found.where(block == b) for b in range(count)]
-        count *= 2
-
-
 class Terms:
     """The terms of a block of items, and the items of each term."""
 
@@ -201,8 +188,8 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, block_bytes: int
     """
     found = materialise(item_terms(items))
     spark, parts = docs.sparkSession, []
-    for rows in _blocks(found, block_bytes):
-        block = Terms(rows.collect())  # at most block_bytes
+    for rows in bounded_blocks(found.withColumn("bytes", F.length("term") + 16), block_bytes):
+        block = Terms(rows.collect())  # at most block_bytes and one item
         if not block.words:
             continue
         counts = {r["term"]: r for r in corpus_counts(docs, block.words).collect()}  # one row a term

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmap.llm import bytebpe, conversations, fingerprint, language, lexical, mixing, ngram_join, quality, revisits, suffix_dedup, templates, wordpiece
+from quillmap.llm import bytebpe, conversations, fingerprint, fmindex, language, lexical, mixing, ngram_join, quality, revisits, suffix_dedup, templates, wordpiece
 from quillmap.llm.common import documents
 from quillmap.plans.registry import Query
 
@@ -67,6 +67,19 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    found = fmindex.contamination_spans(fmindex.find_contamination(documents(spark, sf_dir), items))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
     return conversations.repair_conversations(conversations.damage(turns), turns)
@@ -88,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_source_mix": op9_source_mix,
     "op10_line_templates": op10_line_templates,
+    "op11_fm_decontamination": op11_fm_decontamination,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -229,6 +243,30 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, coalesce(len(had), 0) AS n_lines, coalesce(len(had) - len(has), 0) AS n_dropped,
             sha256(coalesce(array_to_string(has, chr(10)), '')) AS kept_sha256
         FROM kept""",
+    "op11_fm_decontamination": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+            FROM documents),
+        items AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE text IS NOT NULL),
+        windows AS (
+            SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+            FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+        lengths AS (SELECT DISTINCT n FROM windows),
+        grams AS (
+            SELECT row, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+            FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n)),
+        found AS (SELECT DISTINCT g.row, g.i, g.n, w.item FROM grams g JOIN windows w ON g.win = w.win AND g.n = w.n),
+        hits AS (
+            SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS place FROM found) GROUP BY row),
+        met AS (
+            SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hits USING (row) LEFT JOIN met USING (row)""",
     "op13_lexical_search": r"""
         WITH words AS (
             SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(

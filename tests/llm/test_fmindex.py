@@ -1,0 +1,128 @@
+"""Benchmark decontamination against looking for every window everywhere."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+
+from quillmap.llm import fmindex
+from quillmap.llm.queries import ORACLE, QUERIES
+from tests.llm.conftest import awkward_rows, prose
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def plain_words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def by_looking(text, items, width):
+    """(number of words, hit word numbers, sorted item ids)."""
+    words, hit, met = plain_words(text), set(), set()
+    for item, item_text in items:
+        own = plain_words(item_text)
+        for k in range(max(1, len(own) - width + 1) if own else 0):
+            window = own[k : k + width]
+            for i in range(len(words) - len(window) + 1):
+                if words[i : i + len(window)] == window:
+                    hit.update(range(i, i + len(window)))
+                    met.add("" if item is None else str(item))
+    return len(words), hit, sorted(met)
+
+
+def test_suffix_array_and_ranks():
+    rng = np.random.default_rng(3)
+    for n, letters in ((1, 1), (2, 1), (40, 2), (300, 3), (500, 1), (700, 9)):
+        symbols = rng.integers(0, letters + 1, n)
+        symbols[-1] = 0
+        order = fmindex.suffix_array(symbols, 4)
+        assert order.tolist() == sorted(range(n), key=lambda i: symbols[i:].tolist())
+        tree = fmindex.WaveletTree(symbols, 4)
+        for c in range(letters + 2):
+            assert tree.rank(np.full(n + 1, c), np.arange(n + 1)).tolist() == [int((symbols[:i] == c).sum()) for i in range(n + 1)]
+        read, ranks = tree.read(np.arange(n))
+        assert read.tolist() == symbols.tolist()
+        assert ranks.tolist() == [int((symbols[:i] == symbols[i]).sum()) for i in range(n)]
+
+
+def test_search_and_locate():
+    rng = np.random.default_rng(5)
+    symbols = np.append(rng.integers(2, 5, 400), 0)
+    symbols[rng.integers(0, 400, 12)] = 0
+    index = fmindex.FMIndex(symbols, 3)
+    windows = np.array([[2, -1, -1], [3, 4, -1], [2, 2, 3], [4, 4, 4], [6, 2, 2]])
+    lengths = (windows >= 0).sum(axis=1)
+    low, high = index.search(windows, lengths)
+    for w, n, a, b in zip(windows, lengths, low, high):
+        want = [i for i in range(401 - n + 1) if symbols[i : i + n].tolist() == w[:n].tolist()]
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def checked(spark, docs, rows, items, width, **more):
+    found = fmindex.find_contamination(docs, items, width, **more)
+    got = fmindex.contamination_spans(found).collect()
+    wanted = [(r["item_id"], r["text"]) for r in items.collect()]
+    by = {}
+    for doc_id, text in rows:
+        n, hit, met = by_looking(text, wanted, width)
+        by.setdefault(doc_id, []).append((n, len(hit), met))
+    assert len(got) == len(rows)
+    texts = {}
+    for doc_id, text in rows:
+        texts.setdefault(doc_id, []).append(text)
+    for r in got:
+        assert (r.n_words, r.n_hit, list(r["items"])) in by[r.doc_id]
+        if not r.n_hit:
+            assert r.kept_text in texts[r.doc_id] and not r.spans
+    return {r.doc_id: r for r in got}
+
+
+@pytest.mark.parametrize("size", [500, 8_000_000])
+def test_documents_of_every_kind(spark, awkward, monkeypatch, size):
+    monkeypatch.setattr(fmindex, "SHARD_BYTES", size)
+    rows = [(r[0], r[1]) for r in awkward_rows()]
+    base = rows[5][1].split()
+    items = [(1, " ".join(base[3:20])), (2, "TWO-words"), (3, None), (4, " ,;"), (None, " ".join(base[10:22])), (10, "漢字"), (10, "the the"), (11, "not there at all")]
+    table = spark.createDataFrame([(i, t, 1.0, "x") for i, t in items], "item_id long, text string, doc_id double, items string")
+    got = checked(spark, awkward, rows, table, 10)
+    assert got[5].n_hit == 19 and list(got[5]["items"]) == ["", "1"]
+    assert got[5].kept_text == " ".join(base[:3]) + "  " + " ".join(base[22:])
+    assert got[13].n_hit == 400
+    checked(spark, awkward, rows, table, 10, block_bytes=120)
+
+
+def test_random_documents_with_few_words(spark):
+    rng = random.Random(8)
+    words = "a b c d e".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(60)))) for i in range(150)]
+    rows += [(200 + i, rows[0][1]) for i in range(20)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(9)))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    checked(spark, docs, rows, spark.createDataFrame(items, "item_id long, text string"), 4)
+
+
+def test_long_document_and_empty_tables(spark, empty):
+    rng = random.Random(9)
+    long = prose(rng, 30_000) + " needle in the hay " + prose(rng, 10_000)
+    docs = spark.createDataFrame([(1, long), (2, long.upper())], "doc_id long, text string")
+    items = spark.createDataFrame([("q", "Needle; in the HAY!")], "item_id string, text string")
+    got = fmindex.contamination_spans(fmindex.find_contamination(docs, items)).collect()
+    assert [(r.n_hit, r["items"]) for r in got] == [(4, ["q"])] * 2
+    assert fmindex.find_contamination(empty, items).collect() == []
+    left = fmindex.contamination_spans(fmindex.find_contamination(docs, items.limit(0))).collect()
+    assert [r.n_hit for r in left] == [0, 0] and left[0].kept_text == long
+
+
+def test_query_equals_its_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['op11_fm_decontamination']})").fetchall()
+    got = QUERIES["op11_fm_decontamination"](spark, folder).select(columns).collect()
+    assert sorted(want) == sorted(tuple(r) for r in got)
+    assert any(r.contaminated for r in got) and hashlib.sha256(b"").hexdigest() in {r.items_sha256 for r in got}
