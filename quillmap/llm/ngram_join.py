@@ -1,12 +1,14 @@
 """N-gram Jaccard join: R-trees over count vectors, verified on the shingle sets.
 
 1. Every text becomes the set of its hashed word shingles; equal sets are one class.
-2. Sets of similar size that pass the limit differ in at most D elements. Hashes are cut
-   into more than D ranges, so that one range holds the same elements in both: classes
-   that share the content of a range are candidates and form clusters.
-3. In a cluster, elements are hashed into groups, the counts by group are points of an
-   R-tree. The sum of the smaller coordinates bounds the overlap with a point, with a
-   box's upper corner that with all points in it. What survives is verified.
+2. Keys bring classes together that may pass. From PREFIXED percent on, sets that pass
+   differ in at most D elements: hashes are cut into more than D ranges, so that one range
+   holds the same elements in both, and its content is a key. Below, keys are the first
+   elements of a set, as many as two sets that pass cannot both have for themselves.
+3. Elements are hashed into groups, the counts by group are points of an R-tree. The sum
+   of the smaller coordinates bounds the overlap with a point, with a box's upper corner
+   that with all points in it. Classes of a key whose points may pass form clusters.
+4. In a cluster what survives the bound is verified on the sets.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from quillmap.session import materialise
 
 WIDTH = 3
 PERCENT = 90
-#: Limits below this take two parts of a range as a key.
-PAIRED = 85
+#: Limits below this take the first elements of a set as keys.
+PREFIXED = 85
 #: Growth of the size bands; above 100 / PERCENT, so that a pair spans two bands at most.
 BAND_GROWTH = 1.5
 #: Coordinates of a point, children of a box.
-GROUPS = 64
+GROUPS = 256
 FANOUT = 12
 #: Classes and shingles of one block of a cluster; larger clusters are linked block by block.
 BLOCK_CLASSES = 2_000
@@ -82,22 +84,20 @@ def range_keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     (100 - p) / (100 + p) * (|a| + |b|) elements. Of more ranges than that one agrees.
     It may be empty in both only if either fills no more ranges than may differ; such
     sets emit their empty ranges too.
-
-    Below PAIRED percent that would leave few elements to a range. There, sets have one
-    range for every two that may differ, so that one range differs in one element at most;
-    of its three parts two agree, and each two parts make a key.
     """
     size = len(elements)
     number, _, high = _band(size)
     schemes = [(number, high)]
     if 100 * size >= percent * high:  # may link to a set of the next band
         schemes.append((number + 1, max(high + 1, int(high * BAND_GROWTH))))
-    keys = _paired_keys if percent < PAIRED else _single_keys
     out = []
     for number, top in schemes:
         differ = 2 * (top - 1) * (100 - percent) // (100 + percent)
         if differ:  # else only equal sets pass
-            out.append(_mixed(keys(elements, differ) + np.uint64(number)))
+            ranges = differ + differ // 10 + 2
+            content, full = _contents(elements, ranges)
+            keys = content + np.arange(ranges, dtype=np.uint64) * _ODD[3]
+            out.append(_mixed((keys if full.sum() <= differ else keys[full]) + np.uint64(number)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -110,26 +110,17 @@ def _contents(elements: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray
     return content, full
 
 
-def _single_keys(elements: np.ndarray, differ: int) -> np.ndarray:
-    ranges = differ + differ // 10 + 2
-    content, full = _contents(elements, ranges)
-    keys = content + np.arange(ranges, dtype=np.uint64) * _ODD[3]
-    return keys if full.sum() <= differ else keys[full]
+def prefix_keys(elements: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(p n) + 1 of n elements, in the order of their hashes.
 
+    Two sets over the limit have ceil(p n) elements or more in common, so that the first
+    common one has at most n - ceil(p n) others before it, in either set.
+    """
+    return elements[: len(elements) + percent * len(elements) // -100 + 1]
 
-def _paired_keys(elements: np.ndarray, differ: int) -> np.ndarray:
-    """Ranges that differ twice or more are differ // 2 at most. A set with more ranges of
-    two or three filled parts needs no empty keys: of those one differs once at most."""
-    ranges = differ // 2 + differ // 20 + 2
-    content, full = _contents(elements, 3 * ranges)
-    content, full = content.reshape(ranges, 3), full.reshape(ranges, 3)
-    place = np.arange(ranges, dtype=np.uint64) * _ODD[3]
-    safe = (full.sum(axis=1) >= 2).sum() > differ // 2
-    out = []
-    for name, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        keys = _mixed(content[:, i] + place) + content[:, j] * _ODD[4] + np.uint64(name)
-        out.append(keys[full[:, i] | full[:, j]] if safe else keys)
-    return np.concatenate(out)
+
+def keys_of(elements: np.ndarray, percent: int) -> np.ndarray:
+    return prefix_keys(elements, percent) if percent < PREFIXED else range_keys(elements, percent)
 
 
 class CountTree:
@@ -238,153 +229,133 @@ def _links(rows: DataFrame, percent: int, width: int) -> DataFrame:
     )
 
 
-def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, key_a, key_b (of the text), class (of its shingle set; null when empty), n_shingles."""
-
-    def work():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(text, width) for text in batch["text"].to_pylist()]
-            return pa.RecordBatch.from_arrays(
-                [
-                    *(batch[c] for c in ("doc_id", *KEY)),
-                    pa.array([class_of(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                ],
-                ["doc_id", *KEY, "class", "n_shingles"],
-            )
-
-        return each
+def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """A row for each document, from one pass over the texts.
 
-    narrow = docs.select("doc_id", *text_key(F.col("text")), "text")
-    schema = T.StructType(
-        [
-            *(narrow.schema[c] for c in ("doc_id", *KEY)),
-            T.StructField("class", T.BinaryType()),
-            T.StructField("n_shingles", T.LongType()),
-        ]
-    )
-    return map_portions(narrow, work, schema)
-
-
-def candidate_links(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(one, other): each class and the least class with which it shares a range."""
+    doc_id, key_a, key_b (of the text), class (128 bits of its shingle set; null when
+    empty), number (64 bits of the class), n_shingles, and once a task for each class its
+    keys and its point. Two classes of one number, should there be any, are candidates of
+    each other; nothing is lost by it.
+    """
 
     def work():
-        seen: set[bytes] = set()  # copies within a task emit their keys once
+        seen: set[bytes] = set()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, names, counts = [], [], []
+            rows = []
             for text in batch["text"].to_pylist():
                 elements = shingles(text, width)
-                if len(elements) and (name := class_of(elements)) not in seen:
+                name = class_of(elements) if len(elements) else None
+                keys = point = None
+                if name is not None and name not in seen:
                     seen.add(name)
-                    keys.append(range_keys(elements, percent))
-                    names.append(name)
-                    counts.append(len(keys[-1]))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            place = np.repeat(np.arange(len(names)), counts) if names else np.zeros(0, np.int64)
+                    keys = keys_of(elements, percent).view(np.int64)
+                    point = counts_by_group(elements).astype("<u4").tobytes()
+                number = None if name is None else int.from_bytes(name[:8], "big", signed=True)
+                rows.append((name, number, len(elements), keys, point))
+            columns = list(zip(*rows)) or [[]] * len(_OF_CLASS)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64), pa.int64()), pa.array(names, pa.binary()).take(pa.array(place, pa.int64()))],
-                ["key", "class"],
+                [*(batch[c] for c in ("doc_id", *KEY)), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *KEY, *_OF_CLASS]
             )
 
         return each
 
-    keys = map_portions(docs.select("text"), work, "key long, class binary")
-    if percent < PAIRED:
-        return _bounded_links(keys, docs, percent, width)
-    # the least class of each key; a key's rows are sorted and spilled, never held
-    hub = F.first("class").over(Window.partitionBy("key").orderBy("class"))
-    return keys.select(F.col("class").alias("one"), hub.alias("other")).where("one <> other").distinct()
-
-
-def _bounded_links(keys: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(one, other): classes that share a key and whose points may pass, enough to connect all such.
+    narrow = docs.select("doc_id", *text_key(F.col("text")), "text")
+    kinds = (T.BinaryType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.BinaryType())
+    schema = T.StructType(
+        [*(narrow.schema[c] for c in ("doc_id", *KEY)), *(T.StructField(c, k) for c, k in zip(_OF_CLASS, kinds))]
+    )
+    return map_portions(narrow, work, schema)
 
-    With few elements to a key, a passage that many documents share would chain them all.
-    Here each key has an R-tree of its own, of the points of its classes. Keys of more than
-    BLOCK_CLASSES classes are connected as a whole, without points: more candidates, none less.
-    """
 
-    def work():
-        seen: set[bytes] = set()
+_OF_CLASS = ("class", "number", "n_shingles", "keys", "point")
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for text in batch["text"].to_pylist():
-                elements = shingles(text, width)
-                if len(elements) and (name := class_of(elements)) not in seen:
-                    seen.add(name)
-                    rows.append((name, len(elements), counts_by_group(elements).astype("<u4").tobytes()))
-            columns = list(zip(*rows)) or [[], [], []]
-            kinds = (pa.binary(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["class", "size", "point"])
 
-        return each
+def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(one, other): numbers of classes that share a key and whose points may pass, enough to connect all such.
 
-    points = map_portions(docs.select("text"), work, "class binary, size long, point binary")
-    points = points.groupBy("class").agg(F.first("size").alias("size"), F.first("point").alias("point"))
+    A passage that many documents share would chain them all. Each key has an R-tree of its
+    own, of the points of its classes. Keys of more than BLOCK_CLASSES classes are connected
+    as a whole, without points: more candidates, none less.
+    """
+    keys = rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "number")
+    points = rows.where("point IS NOT NULL").groupBy("class").agg(
+        F.first("number").alias("number"), F.first("n_shingles").alias("size"), F.first("point").alias("point")
+    )
     shared = materialise(_shared_keys(keys))
-    large = shared.where("n > limit AND class <> least").select(F.col("class").alias("one"), F.col("least").alias("other"))
+    large = shared.where("n > limit AND number <> least").select(F.col("number").alias("one"), F.col("least").alias("other"))
     # near copies share many keys: one of those that hold the same classes stands for all
-    rows = shared.where("n <= limit").select("set_a", "set_b", "class").distinct().join(points, "class")
+    met = shared.where("n <= limit").select("set_a", "set_b", "number").distinct().join(points, "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(held: list[tuple]) -> list[tuple[bytes, bytes]]:
-            points = np.stack([np.frombuffer(h[4], "<u4").astype(np.int64) for h in held])
-            sizes = np.array([h[3] for h in held], np.int64)
-            tree, part, links = CountTree(points, sizes), np.arange(len(held)), []
-            for i in range(len(held)):
-                near = tree.search(points[i], sizes[i], percent)
-                near = near[part[near] != part[i]]
-                while len(near):
-                    links.append((held[i][2], held[near[0]][2]))
-                    part[part == part[near[0]]] = part[i]
-                    near = near[part[near] != part[i]]
-            return links
-
         held: list[tuple] = []
         for batch in batches:
             out = []
-            for row in zip(*(batch[c].to_pylist() for c in ("set_a", "set_b", "class", "size", "point"))):
+            for row in zip(*(batch[c].to_pylist() for c in ("set_a", "set_b", "number", "size", "point"))):
                 if held and row[:2] != held[0][:2]:
-                    out += finish(held) if len(held) > 1 else []
+                    out += link_points(held, percent)
                     held = []
                 held.append(row)
             yield _link_batch(out)
-        yield _link_batch(finish(held) if len(held) > 1 else [])
+        yield _link_batch(link_points(held, percent))
 
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        small_batches(rows).select("set_a", "set_b", "class", "size", "point")
+        small_batches(met).select("set_a", "set_b", "number", "size", "point")
         .repartition(partitions, "set_a", "set_b")
         .sortWithinPartitions("set_a", "set_b")
     )
-    return ordered.mapInArrow(run, "one binary, other binary").unionByName(large).distinct()
+    return ordered.mapInArrow(run, "one long, other long").unionByName(large).distinct()
+
+
+def link_points(held: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links that connect the classes (.., number, size, point) of one key whose points may pass."""
+    if len(held) < 2:
+        return []
+    points = np.stack([np.frombuffer(h[4], "<u4").astype(np.int64) for h in held])
+    sizes = np.array([h[3] for h in held], np.int64)
+    order = np.lexsort((points[:, 0], sizes))
+    points, sizes, names = points[order], sizes[order], [held[i][2] for i in order]
+    # neighbours first: near copies are one part by then, and no search is needed
+    passes = CountTree._may(points[1:], sizes[1:], sizes[1:], points[:-1], sizes[:-1], percent)
+    links = [(names[i], names[i + 1]) for i in np.flatnonzero(passes)]
+    part = np.concatenate([[0], np.cumsum(~passes)])
+    if not part[-1]:
+        return links
+    tree = CountTree(points, sizes)
+    for i in range(len(names)):
+        near = tree.search(points[i], sizes[i], percent)
+        near = near[part[near] != part[i]]
+        while len(near):
+            links.append((names[i], names[near[0]]))
+            part[part == part[near[0]]] = part[i]
+            near = near[part[near] != part[i]]
+    return links
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
-    """(class, n, least, limit, set_a, set_b): the classes of each key that several have.
+    """(number, n, least, limit, set_a, set_b): the classes of each key that several have.
 
     `n` counts a key's classes, `least` is the first of them, (set_a, set_b) stands for all
     of them. A key's rows are spilled, never held.
     """
     of_key = Window.partitionBy("key")
     met = keys.repartition("key").distinct().select(
-        "class",
+        "number",
         F.count("*").over(of_key).alias("n"),
-        F.min("class").over(of_key).alias("least"),
+        F.min("number").over(of_key).alias("least"),
         F.lit(BLOCK_CLASSES).alias("limit"),
-        F.bit_xor(F.xxhash64("class")).over(of_key).alias("set_a"),
-        F.bit_xor(F.xxhash64(F.lit(1), "class")).over(of_key).alias("set_b"),
+        F.bit_xor(F.xxhash64("number")).over(of_key).alias("set_a"),
+        F.bit_xor(F.xxhash64(F.lit(1), "number")).over(of_key).alias("set_b"),
     )
     # a pair of classes or a whole set is met under many keys
     return met.where("n > 1").distinct()
 
 
-def _link_batch(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     columns = list(zip(*links)) or [[], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["one", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["one", "other"])
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -401,11 +372,11 @@ def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
 def _joined(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, key_a, key_b, n_shingles, component_id."""
-    rows = materialise(classes(docs, width))
-    clusters = components(candidate_links(docs, percent, width))
+    rows = materialise(classes(docs, percent, width))
+    clusters = components(candidate_links(rows, percent))
     sizes = (
         clusters.join(rows.where("class IS NOT NULL").groupBy("class").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), F.col("node") == F.col("class"))
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("number").alias("number")), F.col("node") == F.col("number"))
         .select(F.col("root").alias("cluster"), "class", "doc_id", "n")
     )
     sizes = materialise(sizes)

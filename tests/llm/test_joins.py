@@ -93,21 +93,52 @@ def test_ngram_join(make_docs, percent, width, block, monkeypatch):
     assert got == join_by_hand([tuple(r) for r in rows], percent, width)
 
 
-def test_large_keys_need_no_points(spark, make_docs, monkeypatch):
+def test_large_keys_need_no_points(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 5)
-    names = [bytes([i]) * 16 for i in range(9)]  # of no text: classes without a point
-    rows = [(1, n) for n in names] + [(1, names[0]), (2, names[0]), (2, names[1])]
-    keys = spark.createDataFrame(rows, "key long, class binary").repartition(3)
-    links = ngram_join._bounded_links(keys, make_docs(["a b c"]), 80, 5).collect()
-    assert sorted((bytes(r.one), bytes(r.other)) for r in links) == [(n, names[0]) for n in names[1:]]
+    rows = [(bytes([i]), i, 3, [1, 2] if i < 2 else [1], None) for i in range(9)]
+    rows += [(bytes([i]), i, 3, None, None) for i in range(9)]
+    of_class = spark.createDataFrame(rows, "class binary, number long, n_shingles long, keys array<long>, point binary").repartition(3)
+    links = ngram_join.candidate_links(of_class, 80).collect()
+    assert sorted((r.one, r.other) for r in links) == [(i, 0) for i in range(1, 9)]
 
 
 def test_keys_of_equal_classes_are_one(spark):
-    rows = [(k, bytes([i]) * 16) for k in range(40) for i in range(3)] + [(99, b"x" * 16)]
-    found = ngram_join._shared_keys(spark.createDataFrame(rows, "key long, class binary")).collect()
+    rows = [(k, i) for k in range(40) for i in range(3)] + [(99, 7)]
+    found = ngram_join._shared_keys(spark.createDataFrame(rows, "key long, number long")).collect()
     assert len(found) == 3 and {r.n for r in found} == {3} and len({(r.set_a, r.set_b) for r in found}) == 1
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("common", [60, 100, 150])
+def test_a_shared_passage_links_no_unrelated_texts(percent, common):
+    """Texts of 200 shingles of which `common` are a passage: none passes the limit, few points may."""
+    rng = np.random.default_rng(common)
+    passage = rng.integers(0, 2**63, common).astype(np.uint64)
+    held = []
+    for i in range(400):
+        elements = np.unique(np.concatenate([passage, rng.integers(0, 2**63, 200 - common).astype(np.uint64)]))
+        held.append((0, 0, i, len(elements), ngram_join.counts_by_group(elements).astype("<u4").tobytes()))
+    assert len(ngram_join.link_points(held, percent)) <= 4
+
+
+def test_points_of_one_key_are_connected_if_they_may_pass():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        base = [rng.integers(0, 2**63, rng.integers(3, 60)).astype(np.uint64) for _ in range(4)]
+        sets = [np.unique(np.concatenate([base[rng.integers(0, 4)], rng.integers(0, 2**63, rng.integers(0, 5)).astype(np.uint64)])) for _ in range(30)]
+        held = [(0, 0, i, len(s), ngram_join.counts_by_group(s).astype("<u4").tobytes()) for i, s in enumerate(sets)]
+        points = [ngram_join.counts_by_group(s) for s in sets]
+        may = [
+            (a, b)
+            for a in range(30)
+            for b in range(a)
+            if 180 * np.minimum(points[a], points[b]).sum() >= 80 * (len(sets[a]) + len(sets[b]))
+            and 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b]))
+        ]
+        own = [(i, i) for i in range(30)]
+        assert least_reachable(ngram_join.link_points(held, 80) + own) == least_reachable(may + own)
+
+
 def test_ngram_join_awkward(awkward, empty):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in ngram_join.join_components(awkward).collect()), key=str)
@@ -127,7 +158,7 @@ def test_sets_over_the_limit_share_a_range(percent):
         extra = [rng.integers(0, 2**63, rng.integers(0, 1 + len(common) // 7)).astype(np.uint64) for _ in "ab"]
         a, b = (np.unique(np.concatenate([common, e])) for e in extra)
         if ngram_join.similar(a, b, percent) and not np.array_equal(a, b):
-            assert set(ngram_join.range_keys(a, percent).tolist()) & set(ngram_join.range_keys(b, percent).tolist())
+            assert set(ngram_join.keys_of(a, percent).tolist()) & set(ngram_join.keys_of(b, percent).tolist())
 
 
 def test_tree_finds_all_that_may_pass():
