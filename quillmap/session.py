@@ -47,6 +47,15 @@ def materialise(df: DataFrame) -> DataFrame:
     For results that several branches of a plan read: they are computed once, and
     a lost executor costs a re-read, not a re-computation.
     """
-    path = new_shared_path(df.sparkSession, "table")
+    return materialise_at(df, new_shared_path(df.sparkSession, "table"))
+
+
+def materialise_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Delete a table that `materialise_at` wrote, once nothing reads it any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
