@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmap.session import materialise
+from quillmap.session import materialise_at, new_shared_path, remove_shared
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,10 +13,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round ties the larger neighbours of a node to its least one, then the smaller ones
     (large star, small star). Rounds end when all links are stars around least nodes. Only
-    links move; they are written after each round.
+    links move; they are written after each round, and the round before is removed.
     """
-    edges = materialise(
-        links.where("one <> other").select(F.greatest("one", "other").alias("one"), F.least("one", "other").alias("other")).distinct()
+    spark = links.sparkSession
+    path = new_shared_path(spark, "links")
+    edges = materialise_at(
+        links.where("one <> other").select(F.greatest("one", "other").alias("one"), F.least("one", "other").alias("other")).distinct(), path
     )
     while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("other").alias("one"), F.col("one").alias("other")))
@@ -30,7 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("one").agg(F.min("other").alias("least"))
         tied = F.explode(F.array(F.struct("one", "least"), F.struct(F.col("other").alias("one"), "least")))
         small = large.join(least, "one").select(tied.alias("e")).select("e.one", F.col("e.least").alias("other"))
-        edges = materialise(small.where("one <> other").distinct())
+        before, path = path, new_shared_path(spark, "links")
+        edges = materialise_at(small.where("one <> other").distinct(), path)
+        remove_shared(spark, before)
     roots = edges.select("other").distinct().select(F.col("other").alias("node"), F.col("other").alias("root"))
     return edges.select(F.col("one").alias("node"), F.col("other").alias("root")).unionByName(roots)
 

@@ -17,7 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     numbers = [int(name[2:].split("_")[0]) for name in QUERIES]
-    assert sorted(numbers) == list(range(1, 11)) and set(QUERIES) <= set(entry.queries())
+    assert sorted(numbers) == list(range(1, 14)) and set(QUERIES) <= set(entry.queries())
     assert set(ORACLE) <= set(entry.oracle_sql()) and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard_join", "source_mix", "byte_bpe"]
 
