@@ -134,6 +134,11 @@ def result_summary(filters: DataFrame, matches: DataFrame, n: int = SHOWN) -> Da
     filter has at most 40 different ones: the window sees counts, not results.
     """
     counts = matches.groupBy("filter_key", "confidence_score").agg(F.sum("expressions").alias("hits"))
+    return summary_of_counts(filters, counts, n)
+
+
+def summary_of_counts(filters: DataFrame, counts: DataFrame, n: int = SHOWN) -> DataFrame:
+    """The same from filter_key, confidence_score and hits, one row for each confidence."""
     better = (
         Window.partitionBy("filter_key")
         .orderBy(F.desc("confidence_score"))
