@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from quillmap.llm.common import KEY, map_portions, small_batches, text_key
 from quillmap.llm.components import components
+from quillmap.operators.numbering import number_rows
 from quillmap.session import materialise
 
 WIDTH = 3
@@ -35,6 +36,8 @@ BAND_GROWTH = 1.5
 #: Coordinates of a point, children of a box.
 GROUPS = 256
 FANOUT = 12
+#: Classes of a tile of a key's R-tree.
+TILE_CLASSES = 1_000
 #: Classes and shingles of one block of a cluster; larger clusters are linked block by block.
 BLOCK_CLASSES = 2_000
 BLOCK_SHINGLES = 2_500_000
@@ -276,47 +279,61 @@ def candidate_links(rows: DataFrame, percent: int) -> DataFrame:
     """(one, other): numbers of classes that share a key and whose points may pass, enough to connect all such.
 
     A passage that many documents share would chain them all. Each key has an R-tree of its
-    own, of the points of its classes. Keys of more than BLOCK_CLASSES classes are connected
-    as a whole, without points: more candidates, none less.
+    own, of the points of its classes; that of a key with more than TILE_CLASSES is cut into
+    tiles by the sizes of the sets. Tiles meet in pairs, unless their sizes are too far apart.
     """
     keys = rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "number")
     points = rows.where("point IS NOT NULL").groupBy("class").agg(
         F.first("number").alias("number"), F.first("n_shingles").alias("size"), F.first("point").alias("point")
     )
-    shared = materialise(_shared_keys(keys))
-    large = shared.where("n > limit AND number <> least").select(F.col("number").alias("one"), F.col("least").alias("other"))
     # near copies share many keys: one of those that hold the same classes stands for all
-    met = shared.where("n <= limit").select("set_a", "set_b", "number").distinct().join(points, "number")
+    shared = materialise(_shared_keys(keys).select("set_a", "set_b", "n", "number").distinct())
+    small = shared.where(F.col("n") <= TILE_CLASSES).select(*_SET, F.lit(0).alias("tile"), F.lit(0).alias("with"), "number")
+    large = shared.where(F.col("n") > TILE_CLASSES)
+    met = small if large.isEmpty() else small.unionByName(_tile_pairs(large, points.select("number", "size"), percent))
+    met = met.join(points, "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             out = []
-            for row in zip(*(batch[c].to_pylist() for c in ("set_a", "set_b", "number", "size", "point"))):
-                if held and row[:2] != held[0][:2]:
+            for row in zip(*(batch[c].to_pylist() for c in columns)):
+                if held and row[:4] != held[0][:4]:
                     out += link_points(held, percent)
                     held = []
                 held.append(row)
             yield _link_batch(out)
         yield _link_batch(link_points(held, percent))
 
+    columns = [*_SET, "tile", "with", "number", "size", "point"]
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        small_batches(met).select("set_a", "set_b", "number", "size", "point")
-        .repartition(partitions, "set_a", "set_b")
-        .sortWithinPartitions("set_a", "set_b")
-    )
-    return ordered.mapInArrow(run, "one long, other long").unionByName(large).distinct()
+    ordered = small_batches(met).select(*columns).repartition(partitions, *columns[:4]).sortWithinPartitions(*columns[:4])
+    return ordered.mapInArrow(run, "one long, other long").distinct()
+
+
+_SET = ("set_a", "set_b")
+
+
+def _tile_pairs(large: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(set_a, set_b, tile, with, number): the classes of each two tiles of a set that may have links."""
+    placed = number_rows(large.join(sizes.distinct(), "number"), _SET, "size", ["number"], TILE_CLASSES, "place")
+    tiled = materialise(placed.select(*_SET, ((F.col("place") - 1) / TILE_CLASSES).cast("int").alias("tile"), "number", "size"))
+    boxes = tiled.groupBy(*_SET, "tile").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    others = boxes.select(*_SET, F.col("tile").alias("with"), F.col("low").alias("other_low"))
+    near = (F.col("tile") <= F.col("with")) & (100 * F.col("high") >= percent * F.col("other_low"))
+    pairs = boxes.join(others, list(_SET)).where(near).select(*_SET, "tile", "with")
+    sides = pairs.select(*_SET, "tile", "with", F.explode(F.array_distinct(F.array("tile", "with"))).alias("own"))
+    return sides.join(tiled.withColumnRenamed("tile", "own"), [*_SET, "own"]).select(*_SET, "tile", "with", "number")
 
 
 def link_points(held: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Links that connect the classes (.., number, size, point) of one key whose points may pass."""
     if len(held) < 2:
         return []
-    points = np.stack([np.frombuffer(h[4], "<u4").astype(np.int64) for h in held])
-    sizes = np.array([h[3] for h in held], np.int64)
+    points = np.stack([np.frombuffer(h[-1], "<u4").astype(np.int32) for h in held])
+    sizes = np.array([h[-2] for h in held], np.int64)
     order = np.lexsort((points[:, 0], sizes))
-    points, sizes, names = points[order], sizes[order], [held[i][2] for i in order]
+    points, sizes, names = points[order], sizes[order], [held[i][-3] for i in order]
     # neighbours first: near copies are one part by then, and no search is needed
     passes = CountTree._may(points[1:], sizes[1:], sizes[1:], points[:-1], sizes[:-1], percent)
     links = [(names[i], names[i + 1]) for i in np.flatnonzero(passes)]
@@ -335,17 +352,15 @@ def link_points(held: list[tuple], percent: int) -> list[tuple[int, int]]:
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
-    """(number, n, least, limit, set_a, set_b): the classes of each key that several have.
+    """(number, n, set_a, set_b): the classes of each key that several have.
 
-    `n` counts a key's classes, `least` is the first of them, (set_a, set_b) stands for all
-    of them. A key's rows are spilled, never held.
+    `n` counts a key's classes, (set_a, set_b) stands for all of them. A key's rows are
+    spilled, never held.
     """
     of_key = Window.partitionBy("key")
     met = keys.repartition("key").distinct().select(
         "number",
         F.count("*").over(of_key).alias("n"),
-        F.min("number").over(of_key).alias("least"),
-        F.lit(BLOCK_CLASSES).alias("limit"),
         F.bit_xor(F.xxhash64("number")).over(of_key).alias("set_a"),
         F.bit_xor(F.xxhash64(F.lit(1), "number")).over(of_key).alias("set_b"),
     )

@@ -93,13 +93,33 @@ def test_ngram_join(make_docs, percent, width, block, monkeypatch):
     assert got == join_by_hand([tuple(r) for r in rows], percent, width)
 
 
-def test_large_keys_need_no_points(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 5)
-    rows = [(bytes([i]), i, 3, [1, 2] if i < 2 else [1], None) for i in range(9)]
-    rows += [(bytes([i]), i, 3, None, None) for i in range(9)]
+@pytest.mark.parametrize("tile", [4, 7, 1_000])
+def test_keys_of_any_size_connect_what_may_pass(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE_CLASSES", tile)
+    rng = np.random.default_rng(tile)
+    base = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (12, 20, 60)]
+    sets = [np.unique(np.concatenate([base[rng.integers(0, 3)], rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(40)]
+    points = [ngram_join.counts_by_group(s) for s in sets]
+    rows = [
+        (bytes([i]), i, len(s), [1, 2] if i % 2 else [1], p.astype("<u4").tobytes()) for i, (s, p) in enumerate(zip(sets, points))
+    ]
+    rows += [(bytes([i]), i, len(s), None, None) for i, s in enumerate(sets)]
     of_class = spark.createDataFrame(rows, "class binary, number long, n_shingles long, keys array<long>, point binary").repartition(3)
-    links = ngram_join.candidate_links(of_class, 80).collect()
-    assert sorted((r.one, r.other) for r in links) == [(i, 0) for i in range(1, 9)]
+    links = [(r.one, r.other) for r in ngram_join.candidate_links(of_class, 80).collect()]
+    may = may_pass(sets, points)
+    own = [(i, i) for i in range(40)]
+    assert set(map(tuple, map(sorted, links))) <= set(map(tuple, map(sorted, may)))
+    assert least_reachable(links + own) == least_reachable(may + own)
+
+
+def may_pass(sets, points):
+    return [
+        (a, b)
+        for a in range(len(sets))
+        for b in range(a)
+        if 180 * np.minimum(points[a], points[b]).sum() >= 80 * (len(sets[a]) + len(sets[b]))
+        and 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b]))
+    ]
 
 
 def test_keys_of_equal_classes_are_one(spark):
@@ -128,13 +148,7 @@ def test_points_of_one_key_are_connected_if_they_may_pass():
         sets = [np.unique(np.concatenate([base[rng.integers(0, 4)], rng.integers(0, 2**63, rng.integers(0, 5)).astype(np.uint64)])) for _ in range(30)]
         held = [(0, 0, i, len(s), ngram_join.counts_by_group(s).astype("<u4").tobytes()) for i, s in enumerate(sets)]
         points = [ngram_join.counts_by_group(s) for s in sets]
-        may = [
-            (a, b)
-            for a in range(30)
-            for b in range(a)
-            if 180 * np.minimum(points[a], points[b]).sum() >= 80 * (len(sets[a]) + len(sets[b]))
-            and 100 * min(len(sets[a]), len(sets[b])) >= 80 * max(len(sets[a]), len(sets[b]))
-        ]
+        may = may_pass(sets, points)
         own = [(i, i) for i in range(30)]
         assert least_reachable(ngram_join.link_points(held, 80) + own) == least_reachable(may + own)
 
