@@ -81,10 +81,12 @@ def store_size(stored: DataFrame) -> DataFrame:
 
 
 def retention_plan(
-    manifest: DataFrame, stored: DataFrame, budget_mb: float = BUDGET_MB
+    manifest: DataFrame, stored: DataFrame, budget_mb: float = BUDGET_MB, start: float = 1.0
 ) -> DataFrame:
     """Entries with `dropped`: the oldest go until the store fits 80 % of the budget.
 
+    Nothing goes while the store fits `start` of the budget.
+
     Only entries that still have their data can go; files without an entry count
     towards the size and stay.
     """
@@ -92,7 +94,7 @@ def retention_plan(
     total = store_size(stored).scalar()
     entries = manifest.where(F.col("entry_bytes").isNotNull())
     ranked = total_before(entries, ["timestamp", "entry_key"], "entry_bytes", "older_bytes")
-    over = F.col("store_bytes") > F.lit(float(budget))
+    over = F.col("store_bytes") > F.lit(float(budget) * start)
     still_over = F.col("store_bytes") - F.col("older_bytes") > F.lit(budget * KEEP_SHARE)
     return ranked.withColumn("store_bytes", total).withColumn("dropped", over & still_over)
 

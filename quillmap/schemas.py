@@ -11,7 +11,7 @@ MANIFEST = (
     "entry_key string, file_path string, file_mtime double, timestamp double,"
     " data_size bigint, cache_version bigint, entry_bytes bigint, load_id string"
 )
-STATUSES = "path string, status string, error string, load_id string"
+STATUSES = "path string, status string, error string, read_at double, load_id string"
 RULES = (
     "source string, module string, source_name string, vendor string, file_stem string,"
     " row_no bigint, dimension string, field string, expression string,"

@@ -91,15 +91,26 @@ def read_manifest_table(spark: SparkSession, store: str) -> DataFrame:
     return entries.join(sums.join(loads, "load_id", "left"), "load_id").select(*entries.columns, size).select(*columns)
 
 
+def last_statuses(spark: SparkSession, store: str) -> DataFrame:
+    """The newest status of every path; one without a time is older than any other."""
+    rows = read_statuses(spark, store)
+    others = [c for c in rows.columns if c not in ("path", "read_at")]
+    return rows.groupBy("path").agg(F.max(F.struct("read_at", *others)).alias("last")).select("path", "last.*")
+
+
 def superseded_loads(spark: SparkSession, store: str) -> DataFrame:
-    """load_id, files, bytes of loads whose entries were all read again later, or that never got any."""
+    """load_id, files, bytes of loads whose entries and statuses were all replaced by later ones.
+
+    A load in which every file failed has no entry, but stays while its errors are the last
+    that is known of its files.
+    """
     entries = _read(spark, _path(store, "manifest"), MANIFEST.replace("entry_bytes", "text_bytes"))
-    used = latest_entries(entries).select("load_id").distinct()
+    used = latest_entries(entries).select("load_id").unionByName(last_statuses(spark, store).select("load_id")).distinct()
     loads = stored_files(spark, store).groupBy("load_id").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     return loads.where("load_id <> ''").join(used, "load_id", "left_anti")
 
 
-def _write_load(rows: DataFrame, path: str, *within: str) -> None:
+def write_load(rows: DataFrame, path: str, *within: str) -> None:
     """Replace the partitions of the load that `rows` belong to, and no others."""
     writer = rows.write.partitionBy("load_id", *within).option("partitionOverwriteMode", "dynamic")
     writer.mode("overwrite").parquet(path)
@@ -114,7 +125,7 @@ def write_extractions(rules: DataFrame, files: DataFrame, store: str, now: float
     load = load_id or uuid.uuid4().hex
     # rebalance splits what is large and joins what is small within each partition value
     rows = with_operator(rules).withColumn("load_id", F.lit(load)).hint("rebalance", "source", "module")
-    _write_load(rows, _path(store, "rules"), "source", "module")
+    write_load(rows, _path(store, "rules"), "source", "module")
 
     keys = rules.groupBy("entry_key", "dimension", "field").agg(
         F.sum(F.octet_length("expression") + F.octet_length("dimension") + F.octet_length("field")).alias("bytes")
@@ -134,14 +145,14 @@ def write_extractions(rules: DataFrame, files: DataFrame, store: str, now: float
         )
     )
     columns = [part.split()[0] for part in MANIFEST.replace("entry_bytes", "text_bytes").split(", ")]
-    _write_load(entries.select(*columns), _path(store, "manifest"))
+    write_load(entries.select(*columns), _path(store, "manifest"))
     return load
 
 
-def write_statuses(statuses: DataFrame, store: str, load_id: str) -> None:
-    """path, status and error of every workbook of a load."""
-    rows = statuses.select("path", "status", "error", F.lit(load_id).alias("load_id"))
-    _write_load(rows, _path(store, "statuses"))
+def write_statuses(statuses: DataFrame, store: str, load_id: str, now: float | None = None) -> None:
+    """path, status, error and time of every workbook of a load."""
+    rows = statuses.select("path", "status", "error", F.lit(now).cast("double").alias("read_at"), F.lit(load_id).alias("load_id"))
+    write_load(rows, _path(store, "statuses"))
 
 
 def read_statuses(spark: SparkSession, store: str) -> DataFrame:
@@ -244,7 +255,7 @@ def store_workbooks(
     statuses = file_statuses(decoded).drop("entry_key")
     read = statuses.where(F.col("status") == "ok").select("path")
     if not statuses.isEmpty():
-        write_statuses(statuses, store, load_id)
+        write_statuses(statuses, store, load_id, now)
     if not read.isEmpty():
         rules = with_operator(extraction.rules(sheet_grid(decoded)).drop("path"))
         kept = files.join(read, "path", "left_semi")
