@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from quillmap.functions import matching as m
 from quillmap.functions import questions as qf
-from quillmap.operators import match, names, questions, search
+from quillmap.operators import indexed_search, match, names, questions, search
 from quillmap.plans import oracle as o
 from quillmap.plans import tables as t
 from quillmap.plans.oracle import FILE, FOLDER, KEY, using
-from quillmap.plans.registry import query
-from quillmap.session import materialise
+from quillmap.plans.registry import ORACLE, query
+from quillmap.session import materialise, new_shared_path
+from quillmap.sources import search_index
 
 KEY_COLUMNS = KEY.split(", ")
 FOLDER_COLUMNS = FOLDER.split(", ")
@@ -319,6 +320,36 @@ def result_summary(spark, sf_dir):
     )
 
 
+# ------------------------------------------------ the same from a stored index
+
+
+def _indexed(spark, sf_dir):
+    index = search_index.build_index(t.rules(spark, sf_dir), new_shared_path(spark, "index"))
+    return questions.parse_questions(t.questions(spark, sf_dir)), index
+
+
+@query("indexed_search", ORACLE["search_catalogue"])
+def indexed_results(spark, sf_dir):
+    asked, index = _indexed(spark, sf_dir)
+    return indexed_search.indexed_results(indexed_search.indexed_matches(asked, index), index)
+
+
+@query("indexed_top_results", ORACLE["top_results"])
+def indexed_top_results(spark, sf_dir):
+    asked, index = _indexed(spark, sf_dir)
+    top = indexed_search.indexed_top(asked, index).withColumn("rank", F.col("rank").cast("bigint"))
+    return questions.with_filter_key(asked).select("question_id", "filter_key").join(top, "filter_key").drop("filter_key")
+
+
+@query("indexed_summary", ORACLE["result_summary"])
+def indexed_summary(spark, sf_dir):
+    asked, index = _indexed(spark, sf_dir)
+    summary = indexed_search.indexed_summary(asked, index)
+    return questions.with_filter_key(asked).select("question_id", "filter_key").join(summary, "filter_key").select(
+        "question_id", "total", "shown", F.round("mean_confidence", 6).alias("mean_confidence"), "high_confidence"
+    )
+
+
 RESULT_KEY = f"filter_key, {KEY}, operator, filename, row_no"
 RESULT_KEY_COLUMNS = RESULT_KEY.split(", ")
 

@@ -13,7 +13,7 @@ from quillmap.plans.registry import query
 from quillmap.plans.workbook_tables import BROKEN, FIRST_ROW, HEADERS, ROWS_PER_WORKBOOK, TWO_SHEETS, workbook_files
 from quillmap.session import materialise, new_shared_path
 from quillmap.sources import manifest as meta
-from quillmap.sources import store
+from quillmap.sources import compaction, store
 from quillmap.sources import workbooks as wb
 from quillmap.streaming.ingest import stream_new_workbooks as start_stream
 
@@ -329,6 +329,36 @@ def retention_plan(spark, sf_dir):
     return plan.select("entry_key", "timestamp", "entry_bytes", "dropped")
 
 
+# Entries by loads of 30 days; some files were read again 100 days later.
+LOADED = """SELECT entry_key, timestamp, entry_bytes, 'L' || CAST(CAST(floor(timestamp / 2592000) AS BIGINT) AS VARCHAR(20)) AS load_id
+    FROM (SELECT entry_key, timestamp, entry_bytes FROM {entries} UNION ALL
+          SELECT entry_key, timestamp + 8640000 AS timestamp, entry_bytes FROM {entries} WHERE data_size % 7 = 0) AS e"""
+PACK_BYTES = 100_000
+
+
+@query(
+    "compaction_plan",
+    using("entries")
+    + f""", loaded AS ({LOADED.format(entries="entries")}),
+        newest AS (SELECT *, row_number() OVER (PARTITION BY entry_key ORDER BY timestamp DESC) = 1
+            AND max(timestamp) OVER (PARTITION BY entry_key) >= {t.NOW} - {t.TTL_HOURS} * 3600 AS lives FROM loaded),
+        fates AS (SELECT *, CASE WHEN bool_and(lives) OVER w THEN 'keep' WHEN bool_or(lives) OVER w THEN 'pack' ELSE 'remove' END AS fate
+            FROM newest WINDOW w AS (PARTITION BY load_id)),
+        packs AS (SELECT entry_key, load_id, CAST(floor(coalesce(sum(entry_bytes) OVER (ORDER BY timestamp, entry_key
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PACK_BYTES}) AS BIGINT) AS pack
+            FROM fates WHERE lives AND fate = 'pack')
+        SELECT entry_key, load_id, lives, fate, pack FROM fates LEFT JOIN packs USING (entry_key, load_id)""",
+)
+def compaction_plan(spark, sf_dir):
+    entries = _manifest(spark, sf_dir).select("entry_key", "timestamp", "entry_bytes", "data_size")
+    manifest = materialise(spark.sql(LOADED.format(entries="{entries}"), entries=entries))
+    expired = mf.expired_entries(mf.latest_entries(manifest), t.NOW, t.TTL_HOURS)
+    fates = materialise(compaction.entry_fates(manifest, expired))
+    loads, packs = compaction.load_fates(fates), compaction.packing_plan(fates, PACK_BYTES)
+    told = fates.join(loads.select("load_id", "fate"), "load_id").join(packs, ["entry_key", "load_id"], "left")
+    return told.select("entry_key", "load_id", "lives", "fate", "pack")
+
+
 @query(
     "ingest_stats",
     using("validity")

@@ -98,11 +98,14 @@ def _remove_loads(spark: SparkSession, store: str, loads: DataFrame) -> None:
 def enforce_budget(spark: SparkSession, store: str, budget_mb: float = BUDGET_MB, pack_bytes: int = PACK_BYTES) -> list[DataFrame]:
     """Bring a store that exceeds its budget to KEEP_SHARE of it, dropping the oldest entries.
 
-    Returns the fates of the loads of each pass. Sizes of entries are shares of their files,
-    and files lose their common parts when they are cut: where the first pass leaves more
-    than KEEP_SHARE, another one drops further entries. A store within its budget stays.
+    Returns the fates of the loads of each pass. Entries that were read again go first; if
+    that suffices, nothing else is dropped. Sizes of entries are shares of their files, and
+    small files hold less in the same bytes: where a pass leaves more than KEEP_SHARE, the
+    next one drops further entries. A store within its budget stays.
     """
     passes, start = [], 1.0
+    if store_size(stored_files(spark, store)).first()["store_bytes"] > budget_mb * MEGABYTE:
+        passes.append(compact(spark, store, pack_bytes=pack_bytes))
     while True:
         stored = materialise(stored_files(spark, store))
         if store_size(stored).first()["store_bytes"] <= budget_mb * MEGABYTE * start:

@@ -66,6 +66,16 @@ def test_compaction_without_drops_removes_what_was_replaced(spark, tmp_path):
     assert index.entries().where(F.col("segment") == max(index.segments)).count() > 0  # moved entries are followed
 
 
+def test_entries_read_again_go_before_any_other(spark):
+    folder = new_shared_path(spark, "store")
+    keys = [f"{i:02d}" for i in range(20)]
+    write(spark, folder, keys, 1.0, "one", rows=100)
+    write(spark, folder, keys, 2.0, "two", text="new", rows=100)
+    before, size = saved(spark, folder), size_of(spark, folder)
+    compaction.enforce_budget(spark, folder, 0.7 * size / MEGABYTE)
+    assert saved(spark, folder) == before and size_of(spark, folder) <= 0.7 * size
+
+
 def test_a_dropped_key_does_not_come_back(spark):
     folder = new_shared_path(spark, "store")
     write(spark, folder, ["a", "b"], 1.0, "one", text="old")
