@@ -33,8 +33,9 @@ PERCENT = 90
 PREFIXED = 85
 #: Growth of the size bands; above 100 / PERCENT, so that a pair spans two bands at most.
 BAND_GROWTH = 1.5
-#: Coordinates of a point, children of a box.
+#: Coordinates of a point, sums of them that boxes have, children of a box.
 GROUPS = 256
+COARSE = 64
 FANOUT = 12
 #: Classes of a tile of a key's R-tree.
 TILE_CLASSES = 1_000
@@ -127,40 +128,47 @@ def keys_of(elements: np.ndarray, percent: int) -> np.ndarray:
 
 
 class CountTree:
-    """An R-tree, packed from leaves of points that are near each other in size and counts."""
+    """An R-tree, packed from leaves of points that are near each other in size and counts.
+
+    Boxes, and points at first, are held against COARSE sums of coordinates, which bound the
+    overlap less closely, but soon.
+    """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.points, self.sizes = points, sizes
-        order = np.lexsort((*(points[:, g] for g in range(2)), sizes))
+        self.coarse = _coarse(points)
+        self.order = np.lexsort((*(points[:, g] for g in range(2)), sizes))
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # upper corners, least and largest size
-        self.order = order
-        high, least, most = points[order], sizes[order], sizes[order]
+        high, least, most = self.coarse[self.order], sizes[self.order], sizes[self.order]
         while len(high) > FANOUT:
             starts = np.arange(0, len(high), FANOUT)
             high = np.maximum.reduceat(high, starts)
             least, most = np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)
             self.levels.append((high, least, most))
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Points that may pass: their overlap bound reaches what the limit asks for."""
-        nodes = None
-        for high, least, most in reversed(self.levels):
-            if nodes is None:
-                nodes = np.arange(len(high))
-            nodes = nodes[self._may(high[nodes], least[nodes], most[nodes], point, size, percent)]
-            nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            below = len(self.order) if high is self.levels[0][0] else len(self.levels[self._level(high) - 1][0])
-            nodes = nodes[nodes < below]
-        rows = self.order if nodes is None else self.order[nodes]
-        s = self.sizes[rows]
-        return rows[self._may(self.points[rows], s, s, point, size, percent)]
+    def search(self, point: np.ndarray, size: int, percent: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Points that may pass: their overlap bound reaches what the limit asks for.
 
-    def _level(self, high: np.ndarray) -> int:
-        return next(i for i, level in enumerate(self.levels) if level[0] is high)
+        among: which points are of interest, all by default.
+        """
+        coarse = _coarse(point[None, :])[0]
+        nodes = np.arange(len(self.levels[-1][0]) if self.levels else len(self.order))
+        for i in range(len(self.levels) - 1, -1, -1):
+            high, least, most = self.levels[i]
+            nodes = nodes[self._may(high[nodes], least[nodes], most[nodes], coarse, size, percent)]
+            nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            nodes = nodes[nodes < (len(self.levels[i - 1][0]) if i else len(self.order))]
+        rows = self.order[nodes]
+        if among is not None:
+            rows = rows[among[rows]]
+        for counts, own in ((self.coarse, coarse), (self.points, point)):
+            s = self.sizes[rows]
+            rows = rows[self._may(counts[rows], s, s, own, size, percent)]
+        return rows
 
     @staticmethod
     def _may(high, least, most, point, size, percent) -> np.ndarray:
-        overlap = np.minimum(high, point).sum(axis=1)
+        overlap = np.minimum(high, point).sum(axis=1, dtype=np.int64)
         return (
             ((100 + percent) * overlap >= percent * (least + size))
             & (100 * size >= percent * least)
@@ -168,6 +176,12 @@ class CountTree:
         )
 
 
+def _coarse(points: np.ndarray) -> np.ndarray:
+    width = points.shape[1]
+    sums = points.reshape(len(points), min(COARSE, width), -1).sum(axis=2, dtype=np.int64)
+    return sums.astype(np.int16 if sums.size and sums.max() < 1 << 15 else np.int32 if sums.size and sums.max() < 1 << 31 else np.int64)
+
+
 def counts_by_group(elements: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((elements & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int64)
 
@@ -186,8 +200,7 @@ def link_block(names: list[bytes], labels: list[bytes], sets: list[np.ndarray],
     tree = CountTree(points, sizes)
     links = []
     for i in range(len(sets)):
-        near = tree.search(points[i], sizes[i], percent)
-        near = near[part[near] != part[i]]
+        near = tree.search(points[i], sizes[i], percent, part != part[i])
         while len(near):
             j = near[0]
             if similar(sets[i], sets[j], percent):
@@ -342,8 +355,7 @@ def link_points(held: list[tuple], percent: int) -> list[tuple[int, int]]:
         return links
     tree = CountTree(points, sizes)
     for i in range(len(names)):
-        near = tree.search(points[i], sizes[i], percent)
-        near = near[part[near] != part[i]]
+        near = tree.search(points[i], sizes[i], percent, part != part[i])
         while len(near):
             links.append((names[i], names[near[0]]))
             part[part == part[near[0]]] = part[i]
