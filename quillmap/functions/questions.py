@@ -50,6 +50,7 @@ OPERATOR_PATTERNS = (
     r"(?:in|for|from)\s+operator\s+(?:is\s+)?" + VALUE,
     r"operator\s+(?:is\s+)?" + VALUE,
 )
+# What parts vendor names, and how near "source name" a source is the name's.
 VENDOR_SEPARATOR = r"\s+or\s+|\s+and\s+"
 SOURCE_NAME_PHRASE = "source name"
 SOURCE_NAME_REACH = 10
@@ -129,3 +130,27 @@ def message_kind(message: Column) -> Column:
     for name, spellings in COMMANDS.items():
         kind = kind.when(word.isin(*spellings), name)
     return kind.otherwise("search")
+
+
+def message_text(message: Column) -> Column:
+    """The question of a message as JSON text: a text, or a list of texts and records.
+
+    Of a list the last part counts, a record by its `content`. A list that ends in anything
+    else is taken by its own JSON text. What has no text, an empty list included, is empty;
+    so are null and what is no JSON.
+    """
+    parsed = F.try_parse_json(message)
+    is_list = F.schema_of_variant(parsed).startswith("ARRAY")
+    parts = F.when(is_list, parsed.cast("array<variant>"))
+    last = F.try_element_at(parts, F.lit(-1))
+    kind = F.schema_of_variant(last)
+    content = F.try_variant_get(last, "$.content", "variant")
+    has_content = kind.startswith("OBJECT") & F.array_contains(F.json_object_keys(F.to_json(last)), "content")
+
+    def text_of(value: Column) -> Column:
+        return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+
+    of_list = (
+        F.when(F.size(parts) == 0, "").when(kind == "STRING", text_of(last)).when(has_content, text_of(content)).otherwise(message)
+    )
+    return F.coalesce(F.when(is_list, of_list).otherwise(text_of(parsed)), F.lit(""))

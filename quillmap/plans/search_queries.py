@@ -29,6 +29,29 @@ def latest_message(spark, sf_dir):
     return questions.latest_message(t.spark_sql(spark, sf_dir, "SELECT * FROM {conversations}"))
 
 
+# Turns as messages of every shape: a text, lists that end in a text, a record or a number, and none of them.
+SHAPES = """SELECT conv_id, turn, role, text, CAST(turn % 6 AS INTEGER) AS shape FROM {conversations}"""
+
+
+@query(
+    "message_text",
+    f"""SELECT conv_id, turn, shape, CASE WHEN shape < 3 THEN coalesce(text, '') WHEN shape = 3 THEN '["' || role || '",' || turn || ']'
+        ELSE '' END AS text FROM ({t.oracle_text(SHAPES)})""",
+)
+def message_text(spark, sf_dir):
+    turns = t.spark_sql(spark, sf_dir, SHAPES)
+    as_json = lambda *parts: F.to_json(F.to_variant_object(F.array(*parts)))
+    shapes = (
+        F.when(F.col("shape") == 0, F.get(F.expr("regexp_extract_all(to_json(array(text)), '(?s)^.(.*).$', 1)"), F.lit(0)))
+        .when(F.col("shape") == 1, as_json("role", "text"))
+        .when(F.col("shape") == 2, as_json(F.struct("role", F.col("text").alias("content"))))
+        .when(F.col("shape") == 3, F.concat(F.lit('["'), "role", F.lit('",'), F.col("turn").cast("string"), F.lit("]")))
+        .when(F.col("shape") == 4, "[]")
+        .otherwise(F.col("turn").cast("string"))
+    )
+    return turns.select("conv_id", "turn", "shape", qf.message_text(shapes).alias("text"))
+
+
 # Every turn as it is, and once more as a message of another kind.
 MESSAGES = """SELECT conv_id, turn, 'own' AS form, text FROM {conversations} UNION ALL
     SELECT conv_id, turn, 'command' AS form, CASE turn % 8 WHEN 0 THEN ' ' || 'HELP ' WHEN 1 THEN 'Sources'

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quillmap.functions import questions as q
 from quillmap.operators import questions as ops
 
+# Example questions and what they ask for.
 PARSED = {
     "Give me the mapping for field 'customer_id'": {"field": "customer_id"},
     "Show mapping for AccountNumber from source SAP": {"field": "accountnumber", "source": "sap"},
@@ -71,3 +72,32 @@ def test_same_question_same_key(spark):
     keyed = ops.with_filter_key(ops.parse_questions(table))
     assert ops.distinct_filters(keyed).count() == 3
     assert keyed.select("filter_key").distinct().count() == 3
+
+
+MESSAGES = {
+    '"show field x"': "show field x",
+    '["a", "show field x"]': "show field x",
+    '[{"role": "user", "content": "show field x"}]': "show field x",
+    '["a", {"content": "é \\"quoted\\""}]': 'é "quoted"',
+    '[{"content": ["a"]}]': "",
+    '[{"content": null}]': "",
+    '[{"content": 5}]': "",
+    '["a", {"role": "user"}]': '["a", {"role": "user"}]',
+    '["a", 5]': '["a", 5]',
+    '["a", null]': '["a", null]',
+    '["a", ["b"]]': '["a", ["b"]]',
+    "[]": "",
+    "5": "",
+    "null": "",
+    '{"content": "a"}': "",
+    '""': "",
+    "[broken": "",
+    "": "",
+    None: "",
+}
+
+
+def test_message_text(spark):
+    table = spark.createDataFrame(list(enumerate(MESSAGES)), "i int, message string")
+    got = [r.text for r in table.orderBy("i").select(q.message_text(F.col("message")).alias("text")).collect()]
+    assert got == list(MESSAGES.values())
