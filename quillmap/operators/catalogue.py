@@ -7,7 +7,7 @@ value per key. Every aggregate combines before it shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap.schemas import FOLDER, KEY
@@ -42,10 +42,15 @@ def explode_expressions(catalogue: DataFrame) -> DataFrame:
     return catalogue.select(*kept, F.inline("entries"))
 
 
+def _expressions(rules: DataFrame) -> Column:
+    """Of rules, or of their counts per key and file, as the store keeps them."""
+    return (F.sum("expressions") if "expressions" in rules.columns else F.count("*")).alias("expressions")
+
+
 def file_mapping_count(rules: DataFrame, workbooks: DataFrame) -> DataFrame:
-    """Distinct keys of every file, 0 for files without any."""
+    """Distinct keys of every file, 0 for files without any. `rules` may be `store.read_key_counts`."""
     file = [*FOLDER, "file_stem"]
-    keys = rules.groupBy(*file, "dimension", "field").agg(F.count("*").alias("expressions"))
+    keys = rules.groupBy(*file, "dimension", "field").agg(_expressions(rules))
     counts = keys.groupBy(*file).agg(
         F.count("*").alias("mapping_count"), F.sum("expressions").alias("expression_count")
     )
@@ -53,8 +58,8 @@ def file_mapping_count(rules: DataFrame, workbooks: DataFrame) -> DataFrame:
 
 
 def folder_mapping_count(rules: DataFrame, folders: DataFrame) -> DataFrame:
-    """Distinct keys of every folder, 0 for folders without any."""
-    keys = rules.groupBy(*KEY).agg(F.count("*").alias("expressions"))
+    """Distinct keys of every folder, 0 for folders without any. `rules` may be `store.read_key_counts`."""
+    keys = rules.groupBy(*KEY).agg(_expressions(rules))
     counts = keys.groupBy(*FOLDER).agg(
         F.count("*").alias("mapping_count"), F.sum("expressions").alias("expression_count")
     )

@@ -17,3 +17,8 @@ RULES = (
     " row_no bigint, dimension string, field string, expression string,"
     " operator string, entry_key string, load_id string"
 )
+#: What a file has of each key: the part that counts are summed from.
+KEY_COUNTS = (
+    "source string, module string, source_name string, vendor string, file_stem string,"
+    " dimension string, field string, expressions bigint, entry_key string, load_id string"
+)

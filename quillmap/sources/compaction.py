@@ -21,7 +21,7 @@ from quillmap.operators.manifest import BUDGET_MB, KEEP_SHARE, MEGABYTE, latest_
 from quillmap.operators.numbering import total_before
 from quillmap.schemas import MANIFEST, RULES
 from quillmap.session import materialise, remove_shared
-from quillmap.sources.store import last_statuses, read_manifest_table, stored_files, write_load
+from quillmap.sources.store import last_statuses, read_key_counts, read_manifest_table, stored_files, write_load
 
 PACK_BYTES = 128 * MEGABYTE
 ENTRIES = MANIFEST.replace("entry_bytes", "text_bytes")
@@ -75,6 +75,8 @@ def compact(spark: SparkSession, store: str, dropped: DataFrame | None = None, p
         rules = spark.read.schema(RULES).parquet(f"{root}/rules").join(moved, ["load_id", "entry_key"])
         rules = rules.drop("load_id").withColumnRenamed("new_load", "load_id")
         write_load(rules.hint("rebalance", "load_id", "source", "module"), f"{root}/rules", "source", "module")
+        keys = read_key_counts(spark, store).join(moved, ["load_id", "entry_key"])
+        write_load(keys.drop("load_id").withColumnRenamed("new_load", "load_id").hint("rebalance", "load_id"), f"{root}/keys")
         entries = spark.read.schema(ENTRIES).parquet(f"{root}/manifest").join(moved, ["load_id", "entry_key"])
         columns = [part.split()[0] for part in ENTRIES.split(", ")]
         write_load(entries.drop("load_id").withColumnRenamed("new_load", "load_id").select(*columns), f"{root}/manifest")
@@ -87,7 +89,7 @@ def _remove_loads(spark: SparkSession, store: str, loads: DataFrame) -> None:
     root = store.rstrip("/")
     spoken = last_statuses(spark, store).select("load_id").distinct().withColumn("spoken", F.lit(True))
     gone = loads.select("load_id").join(spoken, "load_id", "left").collect()  # one row a load, as in a listing of folders
-    for table in ("manifest", "rules"):
+    for table in ("manifest", "keys", "rules"):
         for row in gone:
             remove_shared(spark, f"{root}/{table}/load_id={row['load_id']}")
     for row in gone:

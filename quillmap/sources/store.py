@@ -1,4 +1,6 @@
-"""The extraction store: three parquet tables, `rules`, `manifest` and `statuses`.
+"""The extraction store: four parquet tables, `rules`, `keys`, `manifest` and `statuses`.
+
+`keys` has what each file holds of each key, so that counts need not read rules.
 
 All are partitioned by load, and writing a load replaces what it wrote before: a load
 that is repeated counts once. Rules are written first and their manifest entries second;
@@ -13,7 +15,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.functions.cells import column_index
@@ -28,7 +30,7 @@ from quillmap.operators.manifest import (
     manifest_validity,
 )
 from quillmap.operators.search import with_operator
-from quillmap.schemas import KEY, MANIFEST, RULES, STATUSES
+from quillmap.schemas import KEY, KEY_COUNTS, MANIFEST, RULES, STATUSES
 from quillmap.session import materialise
 from quillmap.sources.workbooks import (
     decode_workbooks,
@@ -62,7 +64,7 @@ def stored_files(spark: SparkSession, store: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "path string, length bigint, kind string, load_id string")
-    place = r"/(rules|manifest|statuses)/load_id=([^/]*)/"
+    place = r"/(rules|keys|manifest|statuses)/load_id=([^/]*)/"
     return files.select(
         "path",
         "length",
@@ -78,7 +80,7 @@ def read_manifest_table(spark: SparkSession, store: str) -> DataFrame:
     entry has rules but its load has no files of rules any more.
     """
     entries = _read(spark, _path(store, "manifest"), MANIFEST.replace("entry_bytes", "text_bytes"))
-    is_rules, is_manifest = F.col("kind") == "rules", F.col("kind") == "manifest"
+    is_rules, is_manifest = F.col("kind").isin("rules", "keys"), F.col("kind") == "manifest"
     loads = (
         stored_files(spark, store)
         .groupBy("load_id")
@@ -127,9 +129,9 @@ def write_extractions(rules: DataFrame, files: DataFrame, store: str, now: float
     rows = with_operator(rules).withColumn("load_id", F.lit(load)).hint("rebalance", "source", "module")
     write_load(rows, _path(store, "rules"), "source", "module")
 
-    keys = rules.groupBy("entry_key", "dimension", "field").agg(
-        F.sum(F.octet_length("expression") + F.octet_length("dimension") + F.octet_length("field")).alias("bytes")
-    )
+    text = F.sum(F.octet_length("expression") + F.octet_length("dimension") + F.octet_length("field"))
+    keys = materialise(_key_counts(rules, text.alias("bytes")))
+    write_load(keys.drop("bytes").withColumn("load_id", F.lit(load)).hint("rebalance"), _path(store, "keys"))
     counts = keys.groupBy("entry_key").agg(
         F.count("*").alias("data_size"), F.sum("bytes").alias("text_bytes")
     )
@@ -149,6 +151,31 @@ def write_extractions(rules: DataFrame, files: DataFrame, store: str, now: float
     return load
 
 
+def _key_counts(rules: DataFrame, *more: Column) -> DataFrame:
+    return rules.groupBy(*KEY, "file_stem", "entry_key").agg(F.count("*").alias("expressions"), *more)
+
+
+def read_key_counts(spark: SparkSession, store: str, valid_keys: DataFrame | None = None) -> DataFrame:
+    """What the current entries (or the given ones only) hold of each key, per file.
+
+    `catalogue.file_mapping_count` and `folder_mapping_count` take this table instead of
+    rules. It merges what the loads wrote; an entry that was read again counts as the last
+    load has it. Rules are read of loads only that are older than the table.
+    """
+    manifest = _read(spark, _path(store, "manifest"), MANIFEST.replace("entry_bytes", "text_bytes"))
+    entries = latest_entries(manifest).select("entry_key", "load_id", "data_size")
+    if valid_keys is not None:
+        entries = entries.join(valid_keys.select("entry_key").distinct(), "entry_key", "left_semi")
+    loads = stored_files(spark, store).where("kind = 'keys'").select("load_id").distinct()
+    counted = _read(spark, _path(store, "keys"), KEY_COUNTS).join(entries, ["entry_key", "load_id"], "left_semi")
+    older = materialise(entries.where("data_size > 0").join(loads, "load_id", "left_anti"))
+    if older.isEmpty():
+        return counted
+    rules = _read(spark, _path(store, "rules"), RULES).join(older.select("entry_key", "load_id"), ["entry_key", "load_id"])
+    again = _key_counts(rules, F.first("load_id").alias("load_id"))
+    return counted.unionByName(again.select(*counted.columns))
+
+
 def write_statuses(statuses: DataFrame, store: str, load_id: str, now: float | None = None) -> None:
     """path, status, error and time of every workbook of a load."""
     rows = statuses.select("path", "status", "error", F.lit(now).cast("double").alias("read_at"), F.lit(load_id).alias("load_id"))

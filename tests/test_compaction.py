@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillmap.operators import catalogue
 from quillmap.operators.manifest import MEGABYTE, store_size
-from quillmap.session import new_shared_path
+from quillmap.session import new_shared_path, remove_shared
 from quillmap.sources import compaction, search_index, store
 
 COLUMNS = "source string, module string, source_name string, vendor string, file_stem string, row_no bigint, dimension string, field string, expression string, entry_key string"
@@ -76,6 +77,29 @@ def test_entries_read_again_go_before_any_other(spark):
     assert saved(spark, folder) == before and size_of(spark, folder) <= 0.7 * size
 
 
+def test_counts_by_load_equal_a_full_recount(spark):
+    folder = new_shared_path(spark, "store")
+
+    def same():
+        rules = store.read_saved_extractions(spark, folder)
+        counts = store.read_key_counts(spark, folder)
+        assert "/rules" not in counts._jdf.queryExecution().optimizedPlan().toString() + str(counts.inputFiles())
+        for count in (catalogue.file_mapping_count, catalogue.folder_mapping_count):
+            one, other = (sorted(map(tuple, count(r, rules).collect())) for r in (rules, counts))
+            assert one == other and one
+
+    write(spark, folder, ["a1", "b2"], 1.0, "one", rows=3)
+    same()
+    write(spark, folder, ["b2", "c1"], 2.0, "two", rows=5)  # b2 read again, with more fields
+    same()
+    compaction.compact(spark, folder)
+    same()
+    remove_shared(spark, f"{folder}/keys/load_id=two")  # a load from before the table
+    rules = store.read_saved_extractions(spark, folder)
+    one, other = (sorted(map(tuple, catalogue.folder_mapping_count(r, rules).collect())) for r in (rules, store.read_key_counts(spark, folder)))
+    assert one == other
+
+
 def test_a_dropped_key_does_not_come_back(spark):
     folder = new_shared_path(spark, "store")
     write(spark, folder, ["a", "b"], 1.0, "one", text="old")
