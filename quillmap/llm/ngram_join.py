@@ -182,6 +182,26 @@ def _coarse(points: np.ndarray) -> np.ndarray:
     return sums.astype(np.int16 if sums.size and sums.max() < 1 << 15 else np.int32 if sums.size and sums.max() < 1 << 31 else np.int64)
 
 
+def fine_groups(size: int) -> int:
+    """More groups for larger sets: some eight elements to a group tell sets apart."""
+    return max(GROUPS, 1 << max(0, (size // 8 - 1).bit_length()))
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Counts by fewer groups; groups are the lowest bits of a hash."""
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
+def finely_near(fine: list[np.ndarray], sizes: np.ndarray, i: int, near: np.ndarray, percent: int) -> np.ndarray:
+    """Those of `near` whose overlap with i may reach the limit by the finest groups that both have."""
+    keep = []
+    for j in near.tolist():
+        groups = min(len(fine[i]), len(fine[j]))
+        overlap = groups == GROUPS or (100 + percent) * int(np.minimum(folded(fine[i], groups), folded(fine[j], groups)).sum()) >= percent * int(sizes[i] + sizes[j])
+        keep.append(bool(overlap))
+    return near[np.array(keep, bool)]
+
+
 def counts_by_group(elements: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((elements & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int64)
 
@@ -196,11 +216,12 @@ def link_block(names: list[bytes], labels: list[bytes], sets: list[np.ndarray],
     known = {label: i for i, label in enumerate(dict.fromkeys(labels))}
     part = np.array([known[label] for label in labels])
     sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.stack([counts_by_group(s) for s in sets])
+    fine = [counts_by_group(s, fine_groups(len(s))).astype(np.int32) for s in sets]
+    points = np.stack([folded(f, GROUPS) for f in fine])
     tree = CountTree(points, sizes)
     links = []
     for i in range(len(sets)):
-        near = tree.search(points[i], sizes[i], percent, part != part[i])
+        near = finely_near(fine, sizes, i, tree.search(points[i], sizes[i], percent, part != part[i]), percent)
         while len(near):
             j = near[0]
             if similar(sets[i], sets[j], percent):
@@ -266,7 +287,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
                 if name is not None and name not in seen:
                     seen.add(name)
                     keys = keys_of(elements, percent).view(np.int64)
-                    point = counts_by_group(elements).astype("<u4").tobytes()
+                    point = counts_by_group(elements, fine_groups(len(elements))).astype("<u4").tobytes()
                 number = None if name is None else int.from_bytes(name[:8], "big", signed=True)
                 rows.append((name, number, len(elements), keys, point))
             columns = list(zip(*rows)) or [[]] * len(_OF_CLASS)
@@ -343,19 +364,22 @@ def link_points(held: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Links that connect the classes (.., number, size, point) of one key whose points may pass."""
     if len(held) < 2:
         return []
-    points = np.stack([np.frombuffer(h[-1], "<u4").astype(np.int32) for h in held])
+    fine = [np.frombuffer(h[-1], "<u4").astype(np.int32) for h in held]
+    points = np.stack([folded(f, GROUPS) for f in fine]).astype(np.int32)
     sizes = np.array([h[-2] for h in held], np.int64)
     order = np.lexsort((points[:, 0], sizes))
-    points, sizes, names = points[order], sizes[order], [held[i][-3] for i in order]
+    points, sizes, names, fine = points[order], sizes[order], [held[i][-3] for i in order], [fine[i] for i in order]
     # neighbours first: near copies are one part by then, and no search is needed
     passes = CountTree._may(points[1:], sizes[1:], sizes[1:], points[:-1], sizes[:-1], percent)
+    for i in np.flatnonzero(passes).tolist():
+        passes[i] = len(finely_near(fine, sizes, i, np.array([i + 1]), percent)) > 0
     links = [(names[i], names[i + 1]) for i in np.flatnonzero(passes)]
     part = np.concatenate([[0], np.cumsum(~passes)])
     if not part[-1]:
         return links
     tree = CountTree(points, sizes)
     for i in range(len(names)):
-        near = tree.search(points[i], sizes[i], percent, part != part[i])
+        near = finely_near(fine, sizes, i, tree.search(points[i], sizes[i], percent, part != part[i]), percent)
         while len(near):
             links.append((names[i], names[near[0]]))
             part[part == part[near[0]]] = part[i]

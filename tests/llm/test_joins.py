@@ -141,6 +141,17 @@ def test_a_shared_passage_links_no_unrelated_texts(percent, common):
     assert len(ngram_join.link_points(held, percent)) <= 4
 
 
+def test_long_texts_have_finer_points():
+    rng = np.random.default_rng(7)
+    passage, held = rng.integers(0, 2**63, 600).astype(np.uint64), []
+    for i in range(40):
+        elements = np.unique(np.concatenate([passage, rng.integers(0, 2**63, 20_000).astype(np.uint64)]))
+        held.append((0, 0, i, len(elements), ngram_join.counts_by_group(elements, ngram_join.fine_groups(len(elements))).astype("<u4").tobytes()))
+    near = np.unique(np.concatenate([elements[500:], rng.integers(0, 2**63, 300).astype(np.uint64)]))  # like the last one
+    held.append((0, 0, 40, len(near), ngram_join.counts_by_group(near, ngram_join.fine_groups(len(near))).astype("<u4").tobytes()))
+    assert [tuple(sorted(link)) for link in ngram_join.link_points(held, 80)] == [(39, 40)]
+
+
 def test_points_of_one_key_are_connected_if_they_may_pass():
     rng = np.random.default_rng(4)
     for _ in range(40):
