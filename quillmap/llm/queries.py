@@ -216,8 +216,8 @@ ORACLE: dict[str, str] = {
         words AS (SELECT t, line, regexp_extract_all(line, '[^\x20\x09\x0B-\x0D]+') AS w FROM lines),
         masked AS (
             SELECT t, line, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9@]|://') THEN '<*>' ELSE x END) AS m
-            FROM words WHERE len(w) >= 3),
-        leaves AS (SELECT t, line, m, len(m) || ' ' || m[1] || ' ' || m[2] || ' ' || m[3] AS leaf FROM masked),
+            FROM words WHERE len(w) >= 1),
+        leaves AS (SELECT t, line, m, len(m) || ' ' || array_to_string(m[1:3], ' ') AS leaf FROM masked),
         often AS (SELECT leaf FROM leaves GROUP BY leaf HAVING count(DISTINCT t) >= 10),
         held AS (SELECT l.t, l.line, l.m, l.leaf FROM leaves l JOIN often o ON l.leaf = o.leaf),
         places AS (SELECT t, line, leaf, unnest(m) AS token, unnest(range(1, len(m) + 1)) AS place FROM held),
@@ -228,12 +228,16 @@ ORACLE: dict[str, str] = {
                 count(c.token) AS constants, count(*) AS length
             FROM places p LEFT JOIN constants c ON p.leaf = c.leaf AND p.place = c.place AND p.token = c.token
             GROUP BY p.t, p.line),
+        shares AS (
+            SELECT l.t, 6 * (count(*) - count(o.leaf)) >= count(*) AS alone
+            FROM leaves l LEFT JOIN often o ON l.leaf = o.leaf GROUP BY l.t),
         told AS (
-            SELECT s.t, s.line, s.template, CASE WHEN d.digest[1] = md5(s.line) THEN d.digest[2] ELSE d.digest[1] END AS rest
-            FROM shown s JOIN digests d ON s.t = d.t WHERE 2 * s.constants >= s.length),
+            SELECT s.t, s.line, s.template, a.alone, CASE WHEN d.digest[1] = md5(s.line) THEN d.digest[2] ELSE d.digest[1] END AS rest
+            FROM shown s JOIN digests d ON s.t = d.t JOIN shares a ON s.t = a.t WHERE 2 * s.constants >= s.length),
         recurring AS (
             SELECT template FROM told GROUP BY template
-            HAVING count(DISTINCT rest) >= 10 AND 3 * count(DISTINCT rest) >= count(DISTINCT t)),
+            HAVING count(DISTINCT t) FILTER (alone) >= 10
+                OR count(DISTINCT rest) >= 10 AND 3 * count(DISTINCT rest) >= count(DISTINCT t)),
         gone AS (
             SELECT o.t, list(o.line) AS gone FROM told o JOIN recurring r ON o.template = r.template GROUP BY o.t),
         kept AS (

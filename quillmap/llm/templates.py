@@ -21,10 +21,13 @@ MIN_DOCS = 10
 #: A template recurs across documents, not copies of one, if at least one in APART of its
 #: texts differ in the rest of their lines.
 APART = 3
+#: A text stands for itself, and is no copy, if one in OWN of its lines or more is in no recurring leaf.
+OWN = 6
 VARIABLE = "<*>"
 #: A token with a digit or of an address is variable wherever it stands.
 _FIELD = r"[0-9@]|://"
 _BREAK = r"[\x20\x09\x0B-\x0D]+"
+_TOKEN = r"[^\x20\x09-\x0D]"
 
 
 def tokens(line: Column) -> Column:
@@ -47,21 +50,31 @@ def _lines(texts: DataFrame, shortest: int, *kept: str) -> DataFrame:
     return each.withColumn("tokens", tokens(F.col("line"))).where(F.size("tokens") >= shortest)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = DEPTH) -> DataFrame:
-    """key_a, key_b, line: lines of texts whose template recurs. Equal texts count once."""
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = 1) -> DataFrame:
+    """key_a, key_b, line: lines of texts whose template recurs. Equal texts count once.
+
+    A template recurs if `min_docs` texts with lines of their own have it, or as many texts,
+    one in APART or more of those that have it, that differ in the rest of their lines.
+    """
     keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     split = F.array_distinct(F.split("text", "\n")).alias("lines")
-    slim = _lines(keyed.select(*KEY, split), shortest, *KEY).select(*KEY, _leaf().alias("leaf")).distinct()
+    slim = (
+        _lines(keyed.select(*KEY, split), shortest, *KEY)
+        .groupBy(*KEY, _leaf().alias("leaf"))
+        .agg(F.count("*").alias("lines"))
+    )
     often = slim.groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
     # the texts that have lines in such leaves, with these leaves; they grow with the documents
-    wanted = slim.join(often.select("leaf"), "leaf").groupBy(*KEY).agg(F.collect_list("leaf").alias("leaves"))
+    wanted = slim.join(often.select("leaf"), "leaf").groupBy(*KEY).agg(F.collect_list("leaf").alias("leaves"), F.sum("lines").alias("shared"))
     found = (
         keyed.join(materialise(wanted).hint("merge"), KEY)
-        .select(*KEY, "leaves", split)
+        .select(*KEY, "leaves", "shared", split)
         .withColumn("digests", F.slice(F.array_sort(F.transform("lines", F.md5)), 1, 2))
+        .withColumn("all", F.size(F.filter("lines", lambda line: line.rlike(_TOKEN))))
+        .withColumn("alone", OWN * (F.col("all") - F.col("shared")) >= F.col("all"))
     )
     found = (
-        _lines(found, shortest, *KEY, "leaves", "digests")
+        _lines(found, shortest, *KEY, "leaves", "digests", "alone")
         .withColumn("leaf", _leaf())
         .where(F.array_contains("leaves", F.col("leaf")))
     )
@@ -70,7 +83,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = D
     rest = F.when(least == F.md5("line"), F.get("digests", F.lit(1))).otherwise(least)
     # copies of a text bring the same lines
     candidates = materialise(
-        found.select(*KEY, "leaf", "line", rest.alias("rest")).distinct()
+        found.select(*KEY, "leaf", "line", rest.alias("rest"), "alone").distinct()
     )
     return _of_recurring_templates(candidates, min_docs)
 
@@ -100,20 +113,21 @@ def _of_recurring_templates(candidates: DataFrame, min_docs: int) -> DataFrame:
         .where(2 * F.col("constants") >= F.col("length"))
         .select("leaf", "shown", F.xxhash64("template").alias("template"))
     )
-    lines = materialise(candidates.join(templates, ["leaf", "shown"]).select(*KEY, "line", "template", "rest"))
+    lines = materialise(candidates.join(templates, ["leaf", "shown"]).select(*KEY, "line", "template", "rest", "alone"))
     apart = lines.groupBy("template", "rest").agg(F.count("*").alias("n"))  # first by both: no group grows with its texts
-    texts = lines.groupBy("template", *KEY).agg(F.count("*").alias("n")).groupBy("template").agg(F.count("*").alias("texts"))
+    each = lines.groupBy("template", *KEY).agg(F.first("alone").alias("alone"))
+    texts = each.groupBy("template").agg(F.count("*").alias("texts"), F.count_if("alone").alias("alone"))
     recurring = (
         apart.groupBy("template")
         .agg(F.count("rest").alias("apart"))
         .join(texts, "template")
-        .where((F.col("apart") >= min_docs) & (APART * F.col("apart") >= F.col("texts")))
+        .where((F.col("alone") >= min_docs) | ((F.col("apart") >= min_docs) & (APART * F.col("apart") >= F.col("texts"))))
         .select("template")
     )
     return lines.join(recurring, "template").select(*KEY, "line").distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = DEPTH) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = 1) -> DataFrame:
     """(row, n_lines, n_dropped): `row` has all columns of `docs`, its text without recurring lines.
 
     Lines end at a line feed and are dropped wherever they stand in a text; a text may become empty,

@@ -278,10 +278,12 @@ def templates_by_hand(rows, min_docs):
     split = {t: list(dict.fromkeys(t.split("\n"))) for t in {t or "" for _, t in rows}}
     words = lambda line: ["<*>" if field.search(w) else w for w in re.findall(r"[^\x20\x09\x0B-\x0D]+", line)]
     leaf = lambda line: (len(words(line)), *words(line)[: templates.DEPTH])
-    held = [(t, line) for t, lines in split.items() for line in lines if len(words(line)) >= templates.DEPTH]
+    held = [(t, line) for t, lines in split.items() for line in lines if words(line)]
     count = {}
     for key in {(leaf(line), t) for t, line in held}:
         count[key[0]] = count.get(key[0], 0) + 1
+    own = {t: [count[leaf(x)] < min_docs for x in lines if words(x)] for t, lines in split.items()}
+    alone = {t for t, marks in own.items() if templates.OWN * sum(marks) >= len(marks)}
     held = [(t, line) for t, line in held if count[leaf(line)] >= min_docs]
     times = {}
     for _, line in held:
@@ -298,7 +300,8 @@ def templates_by_hand(rows, min_docs):
     gone = set()
     for members in groups.values():
         apart = len({r for _, _, r in members} - {None})
-        if apart >= min_docs and templates.APART * apart >= len({t for t, _, _ in members}):
+        texts = {t for t, _, _ in members}
+        if len(texts & alone) >= min_docs or apart >= min_docs and templates.APART * apart >= len(texts):
             gone |= {(t, line) for t, line, _ in members}
     out = []
     for doc_id, t in rows:
@@ -335,6 +338,20 @@ def test_line_templates(make_docs, min_docs):
     assert "Posted to" not in text[3] and "rights reserved" not in text[1] and text[3]
 
 
+@pytest.mark.parametrize("shared, own", [(5, 1), (10, 3), (20, 5), (20, 10)])
+def test_lines_that_independent_texts_share(make_docs, shared, own):
+    block = [f"common {w} {w}ly that all of them say" for w in (a + b for a in WORDS for b in WORDS)][:shared]
+    texts = ["\n".join(block + [f"{WORDS[i % 20]}{WORDS[i // 20]} own {WORDS[j]} of it" for j in range(own)]) for i in range(120)]
+    left = [r.text for r in templates.drop_recurring_lines(make_docs(texts)).select("row.text").collect()]
+    assert sum(t.count("common") for t in left) == 0 and all(t.count("\n") == own - 1 for t in left)
+
+
+def test_near_copies_keep_their_lines(make_docs):
+    lines = [f"{a}{b} is what line {a} of {b} says" for a in WORDS for b in WORDS][:20]
+    texts = ["\n".join(f"first{'x' * i} {x}" if j == i % 20 else x for j, x in enumerate(lines)) for i in range(30)]
+    assert not any(r.n_dropped for r in templates.drop_recurring_lines(make_docs(texts)).collect())
+
+
 def test_line_templates_awkward(awkward, empty):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
     found = templates.drop_recurring_lines(awkward, 2)
