@@ -195,6 +195,13 @@ def read_saved_extractions(spark: SparkSession, store: str, valid_keys: DataFram
     return _read(spark, _path(store, "rules"), RULES).join(entries, ["entry_key", "load_id"], "left_semi")
 
 
+def entries_of_paths(spark: SparkSession, store: str) -> DataFrame:
+    """entry_key of the newest entry of every path: an older size of a changed workbook is left out."""
+    manifest = _read(spark, _path(store, "manifest"), MANIFEST.replace("entry_bytes", "text_bytes"))
+    newest = F.max(F.struct("timestamp", "file_mtime", "load_id", "entry_key")).alias("newest")
+    return manifest.groupBy("file_path").agg(newest).select("newest.entry_key")
+
+
 def upgrade_old_extractions(old: DataFrame, saved: DataFrame) -> DataFrame:
     """Older rows do not say which file an expression came from; they join with that left open."""
     return saved.unionByName(old, allowMissingColumns=True)
@@ -244,6 +251,7 @@ def ingest(
     now: float,
     extraction: Extraction = Extraction(),
     ttl_hours: float = TTL_HOURS,
+    files: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Read what is new or changed below `root` into the store.
 
@@ -253,8 +261,11 @@ def ingest(
     Only the listing is compared with the manifest. Paths stay a table: tasks open the
     files that need it and no others, in one job for any number of files. A file that is
     gone or unreadable by then is reported in `statuses` and read again the next time.
+    `files` may give the listing, such as that of `tree.read_tree`, which outlives folders that
+    cannot be listed.
     """
-    listing = materialise(keyed_workbooks(read_workbook_files(spark, root).drop("content"), extraction))
+    found = read_workbook_files(spark, root).drop("content") if files is None else files
+    listing = materialise(keyed_workbooks(found, extraction))
     validity = materialise(manifest_validity(listing, read_manifest_table(spark, store), now, ttl_hours))
     todo = materialise(files_to_extract(listing, validity))
     return {
