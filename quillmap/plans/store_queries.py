@@ -11,10 +11,12 @@ from quillmap.plans.extraction_queries import FILE_COLUMNS, KEY_COLUMNS
 from quillmap.plans.oracle import FILE, FOLDER, KEY, NEEDS, STEPS, step, using
 from quillmap.plans.registry import query
 from quillmap.plans.workbook_tables import BROKEN, FIRST_ROW, HEADERS, ROWS_PER_WORKBOOK, TWO_SHEETS, workbook_files
+from quillmap.schemas import LISTING as LISTING_SCHEMA
 from quillmap.session import materialise, new_shared_path
 from quillmap.sources import manifest as meta
 from quillmap.sources import compaction, store
 from quillmap.sources import workbooks as wb
+from quillmap.streaming.changes import changed_files
 from quillmap.streaming.ingest import stream_new_workbooks as start_stream
 
 FOLDER_COLUMNS = FOLDER.split(", ")
@@ -213,6 +215,28 @@ def stream_new_workbooks(spark, sf_dir):
     return rules.unionByName(statuses.select(*[x.alias(c) for c, x in (nothing | told).items()]))
 
 
+CHANGED = "length(path) % 3 = 0"
+
+
+@query(
+    "stream_changed_workbooks",
+    using("listing")
+    + f"""SELECT path, length, CAST(CASE WHEN {CHANGED} THEN 2 ELSE 1 END AS BIGINT) AS passed,
+          CAST(CASE WHEN {CHANGED} THEN 2000 ELSE 1000 END AS BIGINT) AS last_time FROM listing""",
+)
+def stream_changed_workbooks(spark, sf_dir):
+    """Two listings of the same tree, between which a third of the files changed: how often each passed."""
+    files = materialise(_listing(spark, sf_dir))
+    arrived, passed, checkpoint = (new_shared_path(spark, n) for n in ("arrived", "passed", "offsets"))
+    for later in (F.lit(1000), F.when(F.expr(CHANGED), 2000).otherwise(1000)):
+        files.select("path", F.timestamp_seconds(later).alias("modificationTime"), "length").write.mode("append").parquet(arrived)
+        stream = changed_files(spark.readStream.schema(LISTING_SCHEMA).parquet(arrived)).writeStream.format("parquet")
+        stream = stream.option("path", passed).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        stream.start().awaitTermination()
+    last = F.max(F.unix_seconds("modificationTime")).alias("last_time")
+    return spark.read.schema(LISTING_SCHEMA).parquet(passed).groupBy("path", "length").agg(F.count("*").alias("passed"), last)
+
+
 # -------------------------------------------------------------------- manifest
 
 PARAMS = '{"field_col":"C","header_rows_to_skip":2,"left_col":"B","sheet":0,"value_col":"D"}'
