@@ -234,3 +234,16 @@ def test_executors_need_not_have_the_package(tmp_path):
     )
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert "rows 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_short_sheets_are_parsed_at_once_to_the_same_rows(monkeypatch):
+    from quillmap.sources import xlsx
+
+    book = workbook_bytes({"S": [*ROWS, (40, ["7", None, "", "x"])]})
+    spaced = _with_sheet('<row r="2"><c r="b2"><v>1</v></c><c r="AB2"><v>2</v></c></row><row/><row r="9"><c r="A9"/></row>')
+    whole = [list(sheet_rows(b, 0, 4)) for b in (book, spaced)]
+    with monkeypatch.context() as m:
+        m.setattr(xlsx, "STREAMED_FROM", 0)
+        assert [list(sheet_rows(b, 0, 4)) for b in (book, spaced)] == whole
+    monkeypatch.delattr(xlsx.ElementTree, "iterparse")
+    assert [list(sheet_rows(b, 0, 4)) for b in (book, spaced)] == whole
