@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillmap.plans import tables as t
 from quillmap.plans.store_queries import LISTING, _listing
+from quillmap.sources import store
 
 FILE = ["source", "module", "source_name", "vendor", "file_stem"]
 
@@ -50,3 +51,23 @@ def test_files_are_those_of_the_whole_rows(spark, odd_tables):
 def test_cells_are_normalised_once(spark, odd_tables):
     plan = t.rules(spark, odd_tables)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("btrim") + plan.count("trim(") <= 2 * 3 * 2
+
+
+def test_entries_of_a_load_do_not_meet_in_one_task(spark, tmp_path):
+    rules = spark.createDataFrame(
+        [("S", "M", "T", "V", f"LdRules_{i}", 3, "Dim", "f", "e", f"k{i}") for i in range(20)],
+        "source string, module string, source_name string, vendor string, file_stem string, row_no bigint,"
+        " dimension string, field string, expression string, entry_key string",
+    )
+    files = rules.selectExpr("entry_key", "file_stem AS file_path", "1.0D AS file_mtime")
+    store.write_extractions(rules, files, str(tmp_path), 5.0, "one")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        entries = store.read_manifest_table(spark, str(tmp_path))
+        plan = entries._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+        assert entries.count() == 20 and entries.where("data_size = 1 AND entry_bytes > 0").count() == 20
+        assert store.read_key_counts(spark, str(tmp_path)).count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
