@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from quillmap.llm.common import KEY, map_portions, small_batches, text_key
 from quillmap.llm.components import components
 from quillmap.operators.numbering import number_rows
-from quillmap.session import materialise
+from quillmap.session import materialise, materialise_at, new_shared_path, remove_shared
 
 WIDTH = 3
 PERCENT = 90
@@ -206,6 +206,23 @@ def counts_by_group(elements: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((elements & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest one needs, two to a byte if all are below 16."""
+    most = int(counts.max(initial=0))
+    if most < 16:
+        return (counts[0::2] << 4 | counts[1::2]).astype("u1").tobytes()
+    return counts.astype(np.min_scalar_type(most).newbyteorder("<")).tobytes()
+
+
+def unpacked(point: bytes, size: int) -> np.ndarray:
+    """The counts of a set of `size` elements from `packed` ones of any width."""
+    groups = fine_groups(size)
+    if len(point) < groups:
+        both = np.frombuffer(point, "u1")
+        return np.stack([both >> 4, both & 15], axis=1).ravel().astype(np.int32)
+    return np.frombuffer(point, f"<u{len(point) // groups}").astype(np.int32)
+
+
 def similar(one: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(one, other, assume_unique=True))
     return 100 * both >= percent * (len(one) + len(other) - both)
@@ -287,7 +304,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
                 if name is not None and name not in seen:
                     seen.add(name)
                     keys = keys_of(elements, percent).view(np.int64)
-                    point = counts_by_group(elements, fine_groups(len(elements))).astype("<u4").tobytes()
+                    point = packed(counts_by_group(elements, fine_groups(len(elements))))
                 number = None if name is None else int.from_bytes(name[:8], "big", signed=True)
                 rows.append((name, number, len(elements), keys, point))
             columns = list(zip(*rows)) or [[]] * len(_OF_CLASS)
@@ -364,7 +381,7 @@ def link_points(held: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Links that connect the classes (.., number, size, point) of one key whose points may pass."""
     if len(held) < 2:
         return []
-    fine = [np.frombuffer(h[-1], "<u4").astype(np.int32) for h in held]
+    fine = [unpacked(h[-1], h[-2]) for h in held]
     points = np.stack([folded(f, GROUPS) for f in fine]).astype(np.int32)
     sizes = np.array([h[-2] for h in held], np.int64)
     order = np.lexsort((points[:, 0], sizes))
@@ -423,8 +440,13 @@ def join_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
 def _joined(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, key_a, key_b, n_shingles, component_id."""
-    rows = materialise(classes(docs, percent, width))
-    clusters = components(candidate_links(rows, percent))
+    spark = docs.sparkSession
+    path = new_shared_path(spark, "classes")
+    whole = materialise_at(classes(docs, percent, width), path)
+    clusters = components(candidate_links(whole, percent))
+    # keys and points are most of that table and done with
+    rows = materialise(whole.drop("keys", "point"))
+    remove_shared(spark, path)
     sizes = (
         clusters.join(rows.where("class IS NOT NULL").groupBy("class").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("number").alias("number")), F.col("node") == F.col("number"))
@@ -508,8 +530,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Dat
     """
     found = _joined(docs, percent, width)
     dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", *KEY).distinct()
-    gone = materialise(dropped).select(F.col("doc_id").alias("id"), F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), *text_key(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key_a") == F.col("a")) & (F.col("key_b") == F.col("b"))
-    kept = rows.join(gone, same, "left_anti")
-    return kept.dropDuplicates(["doc_id", *KEY]).select("row.*")
+    rows = docs.select("doc_id", *text_key(F.col("text")), F.struct("*").alias("row"), F.lit(False).alias("gone"))
+    marks = materialise(dropped).select("doc_id", *KEY, F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.lit(True).alias("gone"))
+    # repeated rows and what is dropped meet in one shuffle of the texts
+    told = rows.unionByName(marks).groupBy("doc_id", *KEY).agg(F.first("row", ignorenulls=True).alias("row"), F.max("gone").alias("gone"))
+    return told.where("NOT gone").select("row.*")

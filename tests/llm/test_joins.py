@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillmap.llm import ngram_join, suffix_dedup, templates
 from quillmap.llm.components import components
+from quillmap.session import shared_dir
 from tests.llm.conftest import WORDS, prose
 
 # components
@@ -164,6 +167,36 @@ def test_points_of_one_key_are_connected_if_they_may_pass():
         assert least_reachable(ngram_join.link_points(held, 80) + own) == least_reachable(may + own)
 
 
+@pytest.mark.parametrize("size, most", [(0, 0), (200, 15), (200, 16), (5_000, 15), (5_000, 300), (5_000, 70_000)])
+def test_points_are_packed(size, most):
+    counts = np.random.default_rng(most).integers(0, 3, ngram_join.fine_groups(size))
+    counts[5] = most
+    point = ngram_join.packed(counts)
+    assert ngram_join.unpacked(point, size).tolist() == counts.tolist()
+    assert ngram_join.unpacked(counts.astype("<u4").tobytes(), size).tolist() == counts.tolist()
+    assert len(point) == len(counts) * next(w for w, top in ((0.5, 16), (1, 1 << 8), (2, 1 << 16), (4, 1 << 32)) if most < top)
+
+
+def test_points_of_prose_are_small(make_docs):
+    texts = [prose(random.Random(i), 150) for i in range(20)]
+    assert all(len(r.point) <= ngram_join.GROUPS / 2 for r in ngram_join.classes(make_docs(texts)).where("point IS NOT NULL").collect())
+
+
+def test_texts_are_shuffled_once_to_keep_one(spark, make_docs):
+    texts = edited_copies(random.Random(2))
+    docs = make_docs(texts + texts[:5])
+    plan = ngram_join.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_keys_do_not_stay_on_disk(spark, make_docs):
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    ngram_join.join_components(make_docs(edited_copies(random.Random(3)))).collect()
+    tables = [next(t.glob("*.parquet")) for t in set(folder.iterdir()) - before]
+    assert tables and not any({"keys", "point"} & set(pq.read_schema(t).names) for t in tables)
+
+
 def test_ngram_join_awkward(awkward, empty):
     rows = [tuple(r) for r in awkward.select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in ngram_join.join_components(awkward).collect()), key=str)
