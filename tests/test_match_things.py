@@ -1,7 +1,9 @@
 """Pairs of filters and things against plain Python, and what their plans shuffle."""
 
+from pyspark.sql import functions as F
+
 from quillmap.operators import match, search
-from quillmap.operators.names import containment_pairs
+from quillmap.operators.names import containment_pairs, similar_pairs
 from quillmap.session import materialise
 
 
@@ -45,3 +47,14 @@ def test_results_of_small_groups_need_no_join(spark, monkeypatch):
     plain = search.results(search.search(asked, rules), rules)
     carried = search.results(search.search(asked, rules, entries=True), rules)
     assert sorted(map(tuple, carried.collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 24
+
+
+def test_exploded_names_are_not_broadcast(spark):
+    """A file of names is small, their grams and all that is met by them are not: no plan sends them through the driver."""
+    names = [f"supplier#{i:09d}" for i in range(300)]
+    table = materialise(spark.createDataFrame([("vendor", n) for n in names], "attr string, name string"))
+    pairs = containment_pairs(table.withColumnRenamed("name", "value"), table, ("vendor",))
+    alike = similar_pairs(table.select(F.col("name").alias("query")), table.select(F.col("name").alias("target")))
+    for found in (pairs, alike, _pairs(spark, [*names, "supplier or r", "er or r"], names)):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
