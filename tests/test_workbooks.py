@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmap.operators.manifest import MEGABYTE, retention_plan, store_size
 from quillmap.plans.workbook_tables import NAMESPACE, workbook_bytes
 from quillmap.session import new_shared_path
-from quillmap.sources import store
+from quillmap.sources import store, xlsx
 from quillmap.sources import workbooks as wb
 from quillmap.sources.xlsx import SheetNotFound, sheet_rows
 from quillmap.streaming.ingest import stream_new_workbooks, workbook_stream
@@ -247,3 +248,39 @@ def test_short_sheets_are_parsed_at_once_to_the_same_rows(monkeypatch):
         assert [list(sheet_rows(b, 0, 4)) for b in (book, spaced)] == whole
     monkeypatch.delattr(xlsx.ElementTree, "iterparse")
     assert [list(sheet_rows(b, 0, 4)) for b in (book, spaced)] == whole
+
+
+def _parts(content):
+    try:
+        with xlsx._Archive(content) as book:
+            return [(name, book.read(name), book.size(name)) for name in book.namelist()]
+    except Exception as e:
+        return type(e).__name__, str(e)
+
+
+def test_plain_archives_need_no_zipfile_and_others_read_as_it_reads_them(monkeypatch):
+    plain = workbook_bytes({"S": ROWS, "T": ROWS[:1]})
+    assert zipfile.ZipFile(io.BytesIO(plain)).testzip() is None
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as book:
+        book.comment = b"a comment"
+        book.writestr("bé", b"x" * 3_000)
+        book.writestr(zipfile.ZipInfo("stored"), b"as it is")
+    stored = io.BytesIO()
+    with zipfile.ZipFile(stored, "w") as book:
+        book.writestr("stored", b"as it is")
+        book.writestr("twice", b"1")
+    rng, cases = random.Random(4), [plain, made.getvalue(), stored.getvalue(), b"", b"PK", b"head" + plain, plain + b"tail", plain[:-30]]
+    for content in cases[:3] * 200:
+        damaged = bytearray(content)
+        for _ in range(rng.choice((1, 2, 5))):
+            damaged[rng.randrange(len(damaged))] = rng.randrange(256)
+        cases.append(bytes(damaged))
+    got = [_parts(c) for c in cases]
+    expected = [(n, c) for n, c in sheet_rows(plain, 0, 4)]
+    with monkeypatch.context() as m:
+        m.setattr(xlsx._Archive, "_plain_members", lambda self: None)
+        assert got == [_parts(c) for c in cases]
+        assert [(n, c) for n, c in sheet_rows(plain, 0, 4)] == expected
+    monkeypatch.setattr(zipfile, "ZipFile", None)
+    assert [(n, c) for n, c in sheet_rows(plain, 0, 4)] == expected
